@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from skarn.llm.fm_index import op3_decontamination
+from skarn.llm.pieces import op4_pieces
 from skarn.llm.simhash import op9_simhash
 from skarn.llm.token_counts import op1_token_counts
 from skarn.llm.token_files import op2_token_files
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_token_files": op2_token_files,
     "op3_decontamination": op3_decontamination,
+    "op4_pieces": op4_pieces,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash": op9_simhash,
 }
