@@ -5,8 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from skarn.llm.common import materialise
+from skarn.llm.exact_dedup import exact_dedup
+from skarn.llm.fm_index import find_contamination
+from skarn.llm.pieces import encode_pieces
+from skarn.llm.quality import score_quality
+from skarn.llm.simhash import one_per_component
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(docs, labels, carry=True).where("predicted = 1").select(*COLUMNS)
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup(docs).where("kept").select(*COLUMNS)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one whose id names it."""
+    return one_per_component(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_contamination(docs, benchmark).where(F.col("n_hit") == 0).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with the digests of ids and decoded text."""
+    kept = encode_pieces(docs.select("doc_id", "text"))
+    return kept.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("exact-dedup", dedup_exact),
+    ("near-dedup", dedup_near),
+    ("decontamination", decontaminate),
+    ("encoding", encode),
+]
 
 #: SQL expresses none of the classifier, SimHash and encoding stages; tests hold them to brute force.
 ORACLE_SQL: str | None = None
@@ -14,8 +59,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's rows are written and read again before the next."""
-    from skarn.llm.common import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -261,6 +261,18 @@ def simhash_components(
     return prints.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", **parameters: int) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that stay: of each component those of the smallest id; all rows
+    with a null id stay, since no id tells them apart. Parameters are those of ``simhash_components``.
+
+    Dropped ids are written to the shared folder and anti-joined; the join broadcasts them only while Spark's
+    own size check allows it, and its keys are ids, which are spread evenly.
+    """
+    found = simhash_components(docs, id_col, **parameters)
+    dropped = found.where((F.col(id_col) != F.col("component_id")) & F.col(id_col).isNotNull()).select(id_col).distinct()
+    return docs.join(materialise(dropped, "simhash-dropped"), id_col, "left_anti").select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
