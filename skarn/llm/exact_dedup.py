@@ -80,8 +80,9 @@ def exact_dedup(
     order = F.struct(-F.col("points"), F.col("id").isNull(), F.col("id"), F.col("rid"))
     groups = table.where("full is not null").groupBy("len", "full").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
     groups = groups.where("n > 1").select("len", "full", "n", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
-    groups = materialise(groups, "dedup-groups")  # read back, so that the join below may split a hot group
-    hashed = table.where("full is not null").join(groups, ["len", "full"], "left").select(
+    # read back, so that the join below may split a hot group; shuffled at every size, for groups grow with the data
+    groups = materialise(groups, "dedup-groups")
+    hashed = table.where("full is not null").join(groups.hint("merge"), ["len", "full"], "left").select(
         "row", F.when(F.col("keep_rid").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"), F.coalesce(F.col("keep_rid") == F.col("rid"), F.lit(True)).alias("kept"),
     )

@@ -25,7 +25,7 @@ TRAIN_POSITIVE, TRAIN_UNLABELLED = 6_000, 8_000
 THRESHOLD = 0.3
 #: Confidence that the prior's ratio allows for.
 DELTA = 0.1
-MEMO_TOKENS = 500_000
+MEMO_TOKENS = 150_000
 
 _CASES = ("lower", "title", "upper", "mixed", "none")
 _ENDS = ("letter", "comma", "stop", "digit", "other", "several")

@@ -26,7 +26,7 @@ EPOCHS = 300
 CHI_SQUARE = 20.0
 #: A sentence of at least this probability is offending.
 OFFENDING = 0.5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
