@@ -39,7 +39,8 @@ class Catalog:
         text = self.store.read("manifest.json")
         self.stored = json.loads(text) if text else copy.deepcopy(_EMPTY)
         self.state = copy.deepcopy(self.stored)
-        self.external: dict[str, tuple[list[Column], DataFrame]] = {}
+        self.external: dict[str, tuple[DataFrame | str, dict[str, SqlType], str | None]] = {}
+        self.resolved: dict[str, tuple[list[Column], DataFrame]] = {}
 
     # -- transactions
 
@@ -61,14 +62,24 @@ class Catalog:
 
     # -- tables
 
-    def register(self, name: str, df: DataFrame, types: dict[str, SqlType] | None = None, primary: str | None = None) -> None:
-        """A read-only relation; ``types`` declares columns (enums, JSONB), ``primary`` the key."""
-        types = types or {}
+    def register(self, name: str, source: DataFrame | str, types: dict[str, SqlType] | None = None, primary: str | None = None) -> None:
+        """A read-only relation; ``types`` declares columns (enums, JSONB), ``primary`` the key. A Parquet path is
+        not looked at before a statement names the relation."""
+        self.external[name] = (source, types or {}, primary)
+        self.resolved.pop(name, None)
+
+    def _external(self, name: str) -> tuple[list[Column], DataFrame]:
+        if name not in self.resolved:
+            self.resolved[name] = self._resolve(*self.external[name])
+        return self.resolved[name]
+
+    def _resolve(self, source: DataFrame | str, types: dict[str, SqlType], primary: str | None) -> tuple[list[Column], DataFrame]:
+        df = self.spark.read.parquet(source) if isinstance(source, str) else source
         columns = [Column(f.name, types.get(f.name, of_spark(f.dataType)), primary=f.name == primary, nullable=f.nullable) for f in df.schema]
         for f in df.schema:
             if isinstance(f.dataType, T.TimestampType):
                 df = df.withColumn(f.name, F.col(f"`{f.name}`").cast("timestamp_ntz"))
-        self.external[name] = (columns, df)
+        return columns, df
 
     def exists(self, name: str) -> bool:
         return name in self.external or name in self.state["tables"]
@@ -81,7 +92,7 @@ class Catalog:
 
     def columns(self, name: str) -> list[Column]:
         if name in self.external:
-            return self.external[name][0]
+            return self._external(name)[0]
         return [_load(c) for c in self.entry(name)["columns"]]
 
     def schema(self, name: str, row_id: bool = False) -> T.StructType:
@@ -92,7 +103,7 @@ class Catalog:
     def rows(self, name: str, row_id: bool = False) -> DataFrame:
         """A table's rows, read from its present folders."""
         if name in self.external:
-            return self.external[name][1]
+            return self._external(name)[1]
         schema = self.schema(name, row_id)
         folders = self.entry(name)["folders"]
         if not folders:
