@@ -124,7 +124,7 @@ def _assigned(x, c: Column):
         bad = F.length(x.column) > c.type.args[0]
     elif c.type.name in INTEGERS:
         low, high, _ = INTEGERS[c.type.name]
-        bad = ~column.cast("decimal(38,0)").between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+        bad = ~x.column.cast("decimal(38,0)").between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
     if bad is None:
         return column
     return F.when(bad, F.raise_error(F.lit(f"value does not fit column {c.name} of type {c.type}")).cast(c.type.spark())).otherwise(column)

@@ -42,5 +42,6 @@ def difference(spark_df, oracle: pd.DataFrame) -> str | None:
     if a != b:
         here, there = set(a), set(b)
         return f"{len(a)} rows against {len(b)}; only here: {sorted(here - there)[:3]}; only there: {sorted(there - here)[:3]}"
-    kinds = {c: (own[c].dtype.kind, oracle[c].dtype.kind) for c in own.columns if len(own) and own[c].dtype != oracle[c].dtype and own[c].dtype.kind in "iuf" and oracle[c].dtype.kind in "iuf"}
-    return f"types {[(c, own[c].dtype, oracle[c].dtype) for c in kinds]}" if kinds else None
+    numeric = [c for c in own.columns if len(own) and not own[c].isna().any() and own[c].dtype.kind in "iuf"]
+    kinds = [(c, own[c].dtype, oracle[c].dtype) for c in numeric if str(own[c].dtype).lower() != str(oracle[c].dtype).lower()]
+    return f"types {kinds}" if kinds else None
