@@ -80,6 +80,7 @@ def token_counts(
         raise ValueError(f"rule must be one of {RULES}")
     path = tokenizer_path or default_tokenizer("byte_bpe_50k.json")
     own = [F.col(sections_col)] if sections_col else []
+    stated = bool(sections_col)
 
     def make():
         spans_of = encoder(SpanEncoder, path).spans
@@ -87,9 +88,10 @@ def token_counts(
         def run(items: Iterator[tuple]) -> Iterator[tuple]:
             for doc_id, text, *given in items:
                 text = text or ""
-                if own:
-                    spans = sorted((list(s.values())[:2] if s else (None, None)) for s in given[0] or [])
-                    spans = [(max(0, a), min(b, len(text))) if None not in (a, b) else (0, 0) for a, b in spans]
+                if stated:
+                    bounds = [tuple(s.values())[:2] if s else (None, None) for s in given[0] or []]
+                    clipped = [(0, 0) if None in s else (max(0, s[0]), min(s[1], len(text))) for s in bounds]
+                    spans = sorted(clipped)
                 else:
                     spans = line_sections(text)
                 table = np.array(spans, np.int64).reshape(-1, 2)

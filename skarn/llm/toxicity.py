@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in hashed features of its words; the
-document's is their noisy-or, 1 - prod(1 - p). Only document labels are needed: the likelihood of the noisy-or
+A document is a bag of sentences. A sentence's probability is logistic in hashed features of its words, and 0
+where none of them tells anything, so that length alone makes no document suspect; the document's is their
+noisy-or, 1 - prod(1 - p). Only document labels are needed: the likelihood of the noisy-or
 is maximised directly, and the sentences that carry a toxic document's score are then the offending ones.
 """
 
@@ -23,7 +24,7 @@ from skarn.llm.training import held_out, texts_of, train_ids
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1_500, 3_000
 BITS = 18
 EPOCHS = 300
-CHI_SQUARE = 20.0
+CHI_SQUARE = 12.0
 #: A sentence of at least this probability is offending.
 OFFENDING = 0.5
 MEMO_WORDS = 200_000
@@ -55,16 +56,17 @@ class NoisyOr:
         return value
 
     def sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """Spans and logits of a text's sentences."""
+        """Spans and logits of a text's sentences that hold a telling word."""
         spans, logits, get = [], [], self.memo.get
         for m in _SENTENCE.finditer(text):
-            tokens = m[0].split()
+            tokens = list(dict.fromkeys(m[0].split()))  # a repeated word tells nothing new
             if tokens:
                 found = list(map(get, tokens))
                 if None in found:
                     found = [self._word(t) if f is None else f for t, f in zip(tokens, found, strict=True)]
-                spans.append(m.span())
-                logits.append(sum(found))
+                if any(found):
+                    spans.append(m.span())
+                    logits.append(sum(found))
         return spans, np.array(logits, float) + self.bias
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
@@ -97,7 +99,7 @@ def fit(documents: Iterable[tuple[int, str]], epochs: int = EPOCHS, rate: float
         n = 0
         for m in _SENTENCE.finditer(text):
             own: list[int] = []
-            for t in m[0].split():
+            for t in dict.fromkeys(m[0].split()):
                 if (f := memo.get(t)) is None:
                     f = memo[t] = word_features(t)
                 own += f
@@ -112,19 +114,20 @@ def fit(documents: Iterable[tuple[int, str]], epochs: int = EPOCHS, rate: float
     if len(set(labels)) < 2:
         return NoisyOr(weights, -20.0)
     y, x = np.array(labels, float), np.concatenate(features)
-    counts = np.array(sentences)
-    doc_at = np.cumsum(counts) - counts
+    doc = np.repeat(np.arange(len(y)), sentences)
     row = np.repeat(np.arange(len(words)), words)
-    kept = telling(x, np.repeat(np.arange(len(y)), counts)[row], y)
-    row, x = row[kept[x]], x[kept[x]]
+    kept = telling(x, doc[row], y)[x]
+    row, x = row[kept], x[kept]
+    rows, row = np.unique(row, return_inverse=True)  # the sentences that hold a telling word
+    doc = doc[rows]
     names, x = np.unique(x, return_inverse=True)
-    w = np.r_[np.zeros(len(names)), -5.0]  # the bias last
+    w = np.r_[np.zeros(len(names)), -3.0]  # the bias last
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, epochs + 1):
-        z = np.clip(np.bincount(row, weights=w[x], minlength=len(words)) + w[-1], -40, 40)
-        clear = np.add.reduceat(np.logaddexp(0.0, z), doc_at)  # -log(1 - P)
+        z = np.clip(np.bincount(row, weights=w[x], minlength=len(rows)) + w[-1], -40, 40)
+        clear = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(y))  # -log(1 - P)
         factor = np.where(y == 1, -1.0 / np.expm1(np.clip(clear, 1e-6, 50.0)), 1.0)
-        slope = np.repeat(factor, counts) / (1.0 + np.exp(-z))
+        slope = factor[doc] / (1.0 + np.exp(-z))
         g = np.r_[np.bincount(x, weights=slope[row], minlength=len(names)), slope.sum()] / len(y)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
