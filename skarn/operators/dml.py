@@ -89,6 +89,73 @@ def insert(catalog: Catalog, s: ast.Insert) -> DataFrame:
     return _result(renamed, s.returning, fields, [])
 
 
+def load(catalog: Catalog, name: str, df: DataFrame) -> int:
+    """Appends a DataFrame's rows, columns matched by name; returns how many.
+
+    The rows are written once beside the table, then checked there by aggregates (nulls, lengths, ranges, enum
+    variants) and, for each unique key, by one grouping and one semi-join with the table. Missing SERIAL columns
+    and row numbers are dense: a partition's rows follow those of the partitions before it, so nothing is sorted.
+    """
+    entry, columns = catalog.entry(name), catalog.columns(name)
+    known = set(df.columns)
+    for c in columns:
+        if c.name not in known and not (c.nullable or c.type.serial or c.type.name == "UUID"):
+            raise AnalysisError(f"column {c.name!r} is missing")
+    for n in df.columns:
+        if n not in {c.name for c in columns}:
+            raise InvalidColumn(n, name)
+    place, number = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")
+    given = [F.col(f"`{c.name}`") if c.name in known else F.uuid().alias(c.name) for c in columns if c.name in known or c.type.name == "UUID" and not c.nullable]
+    staged_at = f"data/{name}-staged-{uuid.uuid4().hex[:12]}"
+    df.select(*given, place, number).write.parquet(catalog.store.uri(staged_at))
+    staged = catalog.spark.read.parquet(catalog.store.uri(staged_at))
+    try:
+        sizes = sorted((r.part, r["count"]) for r in staged.groupBy("part").count().collect())  # a row a partition
+        total = sum(n for _, n in sizes)
+        before, starts = 0, []
+        for part, n in sizes:
+            starts.append((part, before))
+            before += n
+        offsets = catalog.spark.createDataFrame(starts, "part int, start bigint")
+        numbered = staged.join(F.broadcast(offsets), "part", "left").withColumn("at", F.col("start") + F.col("at") % (1 << 33))
+        missing = [c.name for c in columns if c.type.serial and c.name not in known] + ([ROW_ID] if entry["row_id"] else [])
+        firsts = {n: catalog.draw(f"{name}.{n}", total) for n in missing}
+        for c in columns:
+            if c.name in firsts and firsts[c.name] + total - 1 > INTEGERS[c.type.name][1]:
+                raise OutOfRange(f"sequence of {c.name!r} is used up")
+        values = {n: (F.col("at") + first) for n, first in firsts.items()}
+        bad = []
+        for c in columns:
+            if c.name not in staged.columns:
+                continue
+            x = F.col(f"`{c.name}`")
+            wrong = F.lit(False)
+            if c.type.kind == "enum":
+                wrong = ~x.isin(*c.type.variants)
+            elif c.type.name == "VARCHAR":
+                wrong = F.length(x) > c.type.args[0]
+            elif c.type.name in INTEGERS:
+                low, high, _ = INTEGERS[c.type.name]
+                wrong = ~x.cast("decimal(38,0)").between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+            bad.append(F.count_if(x.isNull() & F.lit(not c.nullable) | F.coalesce(wrong, F.lit(False))).alias(c.name))
+        found = staged.agg(*bad).first().asDict() if bad else {}
+        for n, count in found.items():
+            if count:
+                raise OutOfRange(f"{count} values do not fit column {n!r}")
+        schema = catalog.schema(name, row_id=True)
+        out = numbered.select(*[values.get(f.name, F.col(f"`{f.name}`") if f.name in staged.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        for n in _unique(columns):
+            key = F.col(f"`{n}`")
+            clash = out.where(key.isNotNull()).groupBy(key).count().where("count > 1").select(key).first()
+            clash = clash or out.select(key).join(catalog.rows(name).select(key), n, "left_semi").first()
+            if clash:
+                raise DuplicatedKey(f"duplicated key {clash[0]} in column {n!r}")
+        catalog.write(name, out, append=True)
+    finally:
+        catalog.store.delete(staged_at)
+    return total
+
+
 def _check_stored(catalog: Catalog, name: str, df: DataFrame, changed: set[str]) -> None:
     """Constraints of changed columns over a written snapshot: one aggregate for each key, one for all nulls."""
     columns = [c for c in catalog.columns(name) if c.name in changed]

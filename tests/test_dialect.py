@@ -288,3 +288,30 @@ def test_uuid_and_row_id(db):
     assert rows(db, f"SELECT name FROM c WHERE uid = '{got[1][1].upper()}';") == [("b",)]
     with pytest.raises(E.TypeMismatch):
         db.sql("INSERT INTO c (name, uid) VALUES ('z', 'nope');")
+
+
+def test_commands(db):
+    from skarn.__main__ import HELP, command
+
+    db.sql("CREATE TABLE a (x INT); CREATE TABLE b (y TEXT NULLABLE);")
+    assert command(db, "/dt") == "a\nb"
+    assert command(db, "/d b") == "y TEXT"
+    assert command(db, "/help") == HELP and command(db, "/quit") is None
+    assert "no command" in command(db, "/what")
+
+
+def test_bulk_load(db, spark):
+    db.sql('CREATE TABLE t (id SERIAL PRIMARY KEY, n INT UNIQUE, s VARCHAR(4) NULLABLE, e "x" | "y" NULLABLE); INSERT INTO t (n) VALUES (0);')
+    assert db.load("t", spark.range(1, 501, numPartitions=4).selectExpr("id AS n", "cast(id AS string) AS s")) == 500
+    assert rows(db, "SELECT COUNT(*), MIN(id), MAX(id), SUM(id) FROM t;") == [(501, 1, 501, 501 * 502 // 2)]
+    assert len({r[0] for r in rows(db, "SELECT id FROM t;")}) == 501
+    for bad, error in (("5 AS n", E.DuplicatedKey), ("900 AS n, 'toolong' AS s", E.OutOfRange), ("901 AS n, 'z' AS e", E.OutOfRange), ("CAST(NULL AS INT) AS n", E.OutOfRange), ("'a' AS s", E.AnalysisError), ("1 AS q, 902 AS n", E.InvalidColumn)):
+        with pytest.raises(error):
+            db.load("t", spark.range(1).selectExpr(bad.split(", ")[0], *bad.split(", ")[1:]))
+    with pytest.raises(E.DuplicatedKey):
+        db.load("t", spark.createDataFrame([(990,), (990,)], "n int"))
+    assert rows(db, "SELECT COUNT(*) FROM t;") == [(501,)]
+    db.sql("BEGIN TRANSACTION;")
+    db.load("t", spark.range(1000, 1002).selectExpr("id AS n"))
+    db.sql("ROLLBACK;")
+    assert rows(db, "SELECT COUNT(*) FROM t;") == [(501,)]
