@@ -305,16 +305,7 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _script(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        root = None
-        if base:
-            import uuid
-
-            root = f"{base.rstrip('/')}/skarn-db-{uuid.uuid4().hex[:12]}"
-        return rounded(Engine(spark, root).sql(sql))
-
-    return run
+    return lambda spark, sf_dir: rounded(Engine(spark).sql(sql))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
