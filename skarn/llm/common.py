@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_OWN: set[str] = set()
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -32,8 +35,19 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_base(spark)}/skarn-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the application's folder in the shared one, which goes when the driver ends."""
+    own = f"{shared_base(spark)}/skarn-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Best effort: the session may have been stopped."""
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
