@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,21 +15,14 @@ TIME_UNITS = ("HOUR", "MINUTE", "SECOND", "EPOCH")
 TIMESTAMP_UNITS = (*DATE_UNITS, "HOUR", "MINUTE", "SECOND")
 
 
-def trunc_number(x: Column, digits: int, decimal: tuple[int, int] | None = None) -> Column:
-    """Truncates toward zero after ``digits`` places; exact for decimals of (precision, scale)."""
-    if decimal is None:
-        scale = float(10.0**digits)
-        return F.signum(x) * F.floor(F.abs(x) * scale) / scale
-    precision, scale = decimal
-    if digits >= scale:
-        return x
-    # rounding half down of |x| - half a unit would need care; cutting the text of a decimal is exact
-    if digits > 0:
-        whole = F.regexp_extract(x.cast("string"), rf"^-?\d+(?:\.\d{{1,{digits}}})?", 0)
-        return whole.cast(f"decimal({min(38, precision)},{digits})")
-    unit = F.lit(10**-digits).cast("decimal(38,0)")
-    towards_zero = F.regexp_extract(x.cast("string"), r"^-?\d+", 0).cast("decimal(38,0)")
-    return (towards_zero - towards_zero % unit).cast(f"decimal({min(38, precision)},0)")
+def trunc_number(x: Column, digits: int, exact: bool = False) -> Column:
+    """Truncates toward zero after ``digits`` places (before the point where negative). ``exact``: a decimal, whose
+    remainder has its sign."""
+    if exact:
+        out = x - x % F.lit(Decimal(1).scaleb(-digits))
+        return out.cast(f"decimal(38,{min(12, max(0, digits))})")
+    scale = float(10.0**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
 
 
 def substring(s: Column, start: Column | None, length: Column | None) -> Column:

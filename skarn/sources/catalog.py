@@ -45,7 +45,7 @@ class Catalog:
     # -- transactions
 
     def save(self) -> None:
-        self.state["sequences"] = self.stored["sequences"] | {k: max(v, self.stored["sequences"].get(k, 0)) for k, v in self.state["sequences"].items()}
+        self.state["sequences"] = {k: max(v, self.stored["sequences"].get(k, 0)) for k, v in self.state["sequences"].items()}
         self.stored = copy.deepcopy(self.state)
         self.store.replace("manifest.json", json.dumps(self.stored))
 
@@ -129,8 +129,6 @@ class Catalog:
             mine = [k for k in self.state[kind] if k.startswith(f"{name}.") or kind == "indexes" and self.state[kind][k]["table"] == name]
             for k in mine:
                 del self.state[kind][k]
-                if kind == "sequences":
-                    self.stored[kind].pop(k, None)
 
     def set_unique(self, table: str, column: str, index: str, sql: str) -> None:
         for c in self.entry(table)["columns"]:

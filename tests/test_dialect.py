@@ -244,6 +244,19 @@ def test_transactions(db):
     assert db.tables() == ["u"]
 
 
+def test_a_dropped_table_comes_back_with_its_sequence(db):
+    db.sql("CREATE TABLE t (id SERIAL PRIMARY KEY, n INT); INSERT INTO t (n) VALUES (1), (2); BEGIN TRANSACTION; DROP TABLE t; ROLLBACK;")
+    assert rows(db, "INSERT INTO t (n) VALUES (3) RETURNING id;") == [(3,)]
+    db.sql("DROP TABLE t; CREATE TABLE t (id SERIAL PRIMARY KEY, n INT);")
+    assert rows(db, "INSERT INTO t (n) VALUES (3) RETURNING id;") == [(1,)]
+
+
+@pytest.mark.parametrize("text,digits,want", [("1.239", 2, "1.23"), ("-1.239", 2, "-1.23"), ("-0.009", 1, "0.0"), ("987.65", 0, "987"), ("-987.65", -2, "-900"), ("0.000001", 6, "0.000001")])
+def test_trunc_of_decimals_is_exact(db, text, digits, want):
+    db.sql(f"CREATE TABLE t (n NUMERIC(20,6)); INSERT INTO t (n) VALUES ({text});")
+    assert rows(db, f"SELECT TRUNC(n, {digits}) FROM t;") == [(Decimal(want),)]
+
+
 def test_writers_wait(db):
     db.sql("CREATE TABLE t (n INT); BEGIN TRANSACTION; INSERT INTO t (n) VALUES (1);")
     seen = []
