@@ -56,7 +56,8 @@ def extract(unit: str, x: Column, kind: str) -> Column:
     if unit in simple:
         return simple[unit].cast("bigint")
     if unit == "EPOCH":
-        return F.unix_seconds(x.cast("timestamp_ntz").cast("timestamp")).cast("bigint")
+        days = F.unix_date(x.cast("date")).cast("bigint") * 86_400  # whatever the session's time zone
+        return days if kind == "date" else days + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
     return {"HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second}[unit](x).cast("bigint")
 
 
