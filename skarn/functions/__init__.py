@@ -88,9 +88,11 @@ def time_seconds(text: Column) -> Column:
     return (parts[0].cast("int") * 3600 + parts[1].cast("int") * 60 + parts[2].cast("int")).cast("int")
 
 
-def like(x: Column, pattern: str) -> Column:
+def like(x: Column, pattern: str | Column) -> Column:
     """LIKE without an escape character."""
-    return x.like(pattern.replace("\\", "\\\\"))
+    if isinstance(pattern, str):
+        return x.like(pattern.replace("\\", "\\\\"))
+    return F.like(x, F.replace(pattern, F.lit("\\"), F.lit("\\\\")))
 
 
 def enum_ordinal(x: Column, variants: tuple[str, ...]) -> Column:

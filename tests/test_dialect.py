@@ -128,6 +128,7 @@ def test_functions(staff):
     assert rows(staff, f"SELECT TYPEOF(name), TYPEOF(team) {one}") == [("VARCHAR(20)", '"ops" | "dev" | "art"')]
     assert rows(staff, "SELECT name FROM staff WHERE name LIKE '_d%';") == [("Ada",)]
     assert rows(staff, r"SELECT name FROM staff WHERE name LIKE '\%';") == []
+    assert rows(staff, r"SELECT name FROM staff WHERE name LIKE CONCAT('\', '%') OR CONCAT('\', name) LIKE CONCAT('\', 'B%');") == [("Bo",)]
     with pytest.raises(Exception, match="negative"):
         rows(staff, f"SELECT SQRT(0 - rank) {one}")
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
