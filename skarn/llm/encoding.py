@@ -53,6 +53,14 @@ class ChunkMemo:
         self.first: dict = {}
         self.later: dict = {}
 
+    def peek(self, chunk: object) -> bytes | None:
+        found = self.first.get(chunk)
+        return self.later.get(chunk) if found is None else found
+
+    def put(self, known: dict) -> None:
+        if len(self.first) < MEMO_CHUNKS:
+            self.first.update((c, v) for c, v in known.items() if len(c) <= MEMO_LENGTH)
+
     def get(self, chunks: list) -> list[bytes]:
         found = list(map(self.first.get, chunks))
         if None not in found:
@@ -86,11 +94,35 @@ class WordEncoder:
         self.library = tokenizer(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo = ChunkMemo(self._encode)
+        plain, capital, *marked = self._library([b"ab", b"Ab", b"ab,", b"ab."])
+        tails = dict(zip([b",", b"."], self._library([b",", b"."]), strict=True))
+        #: Whether an ASCII word's case does not matter and a comma or stop after it is a token run of its own.
+        self.folds = plain == capital and marked == [plain + t for t in tails.values()]
+        self.tails = tails if self.folds else {}
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+    def _library(self, pieces: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        """An ASCII word is looked up without its case and final mark first; the rest goes to the library."""
+        parts, new = [], {}
+        for p in pieces:
+            tail = self.tails.get(p[-1:], b"") if len(p) > 1 else b""
+            stem = p[:-1] if tail else p
+            if self.folds and stem.isalpha():
+                stem = stem.lower()
+                known = self.memo.peek(stem)
+            else:
+                stem, tail, known = p, b"", None
+            if known is None:
+                new[stem] = None
+            parts.append((stem, tail, known))
+        if new:
+            new = dict(zip(new, self._library(list(new)), strict=True))
+            self.memo.put(new)
+        return [(new[stem] if known is None else known) + tail for stem, tail, known in parts]
+
     def packed(self, text: str) -> bytes:
         return b"".join(self.memo.get(text.encode().split()))
 
