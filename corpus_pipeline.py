@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from skarn.llm.common import materialise
 from skarn.llm.exact_dedup import exact_dedup
 from skarn.llm.fm_index import find_contamination
+from skarn.llm.near_dups import one_per_near_component
 from skarn.llm.pieces import encode_pieces
 from skarn.llm.quality import score_quality
-from skarn.llm.simhash import one_per_component
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,8 +29,8 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one whose id names it."""
-    return one_per_component(docs).select(*COLUMNS)
+    """One document of each component of five-word similarity 0.8: the one whose id names it."""
+    return one_per_near_component(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encode),
 ]
 
-#: SQL expresses none of the classifier, SimHash and encoding stages; tests hold them to brute force.
+#: SQL expresses none of the classifier, near-dedup and encoding stages; tests hold them to brute force.
 ORACLE_SQL: str | None = None
 
 
