@@ -29,8 +29,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of 32 characters or more
 
-#: Weak parts. A secret string: 40 characters as cloud vendors issue them; an endpoint: a URL or a service host.
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+#: Weak parts. A secret string: 40 characters as cloud vendors issue them, also right after "="; an endpoint: a URL or a service host.
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"(?:https?|s3|postgres|mysql|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|digitaloceanspaces|wasabisys)\.com")
 _PARAGRAPH = re.compile(r"\n[\x20\t]*\n")
 
