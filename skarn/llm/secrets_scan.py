@@ -80,18 +80,19 @@ def _joined(scopes: list[tuple[int, int]], spans: list[tuple[int, int]]) -> set[
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak parts with complementary parts in scope: a secret string near an access identifier, an endpoint
-    near an access identifier together with a secret (strong or linked)."""
-    access = [(a, b) for a, b, k in base if k == "access"]
-    if not access:
+    near a strong secret, or near an access identifier together with a secret (strong or linked)."""
+    if not base:
         return []
+    access = [(a, b) for a, b, k in base if k == "access"]
     taken = [(a, b) for a, b, _ in base]
-    weak = [m.span() for m in _SECRET.finditer(text) if entropy(m[0]) >= ENTROPY and not any(a < m.end() and m.start() < b for a, b in taken)]
+    weak = [m.span() for m in (_SECRET.finditer(text) if access else ()) if entropy(m[0]) >= ENTROPY and not any(a < m.end() and m.start() < b for a, b in taken)]
     scopes = _scopes(text, access)
     secrets = [weak[k] for k in sorted(_joined(scopes, weak))]
-    strong = sorted([(a, b) for a, b, k in base if k != "access"] + secrets)
+    own = [(a, b) for a, b, k in base if k != "access"]
+    strong = sorted(own + secrets)
     ends = [m.span() for m in _ENDPOINT.finditer(text)]
     paired = [s for s in scopes if any(s[0] <= a and b <= s[1] for a, b in strong)]
-    endpoints = [ends[k] for k in sorted(_joined(paired, ends))]
+    endpoints = [ends[k] for k in sorted(_joined(paired + (_scopes(text, own) if ends else []), ends))]
     return [(a, b, "linked_secret") for a, b in secrets] + [(a, b, "linked_endpoint") for a, b in endpoints]
 
 

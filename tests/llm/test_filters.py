@@ -125,3 +125,12 @@ def test_linked_secret_right_after_equals_sign():
         text += "https://s3.example.com"
         assert (text.index("https"), len(text), "linked_endpoint") in sec.scan(text)[1]
         assert "linked" not in sec.joined(sec.scan(text[21:])[1])  # no access identifier
+
+
+def test_endpoint_near_a_strong_secret():
+    """A database's address and its password or key, without an access identifier."""
+    kinds = lambda t: [k for _, _, k in sec.scan(t)[1]]
+    assert kinds("postgres://db.host:5432 password: hunter2222") == ["linked_endpoint", "assign"]
+    assert kinds(f"{'0a' * 16} for redis://cache:6379") == ["hex", "linked_endpoint"]
+    assert kinds("postgres://db.host:5432\n\npassword: hunter2222") == ["assign"]  # another paragraph
+    assert kinds(f"password: hunter2222 {'x ' * 300} postgres://db.host:5432") == ["assign"]  # too far
