@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,22 +14,32 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _LOCAL_BASES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _OWN: set[str] = set()
 
+#: Bytes of rows that a task holds before it sends them on.
+BATCH_BYTES = 4 << 20
+
 
 def shared_base(spark: SparkSession) -> str:
     """URI of the folder that the driver and every executor can see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single machine)
-    is a temporary folder taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one
+    process (a local master, as in tests) is a temporary folder taken; elsewhere an unset name is an error, since a
+    machine's own folder would be a different one on every executor.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_BASES:
         _LOCAL_BASES[app] = "file://" + tempfile.mkdtemp(prefix="skarn-")
@@ -64,7 +76,9 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="skarn-code-")) / "skarn_code.zip"
+    folder = tempfile.mkdtemp(prefix="skarn-code-")  # the driver's own; executors fetch the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "skarn_code.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -80,14 +94,23 @@ def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in columns)
 
 
-def batched(items: Iterable[tuple], schema: pa.Schema, limit: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Tuples back into Arrow batches of at most ``limit`` rows."""
+def weight(value: object) -> int:
+    """About how many bytes a value takes as a Python object beside its fixed part."""
+    if isinstance(value, str | bytes):
+        return len(value)
+    return 40 * len(value) if isinstance(value, list) else 0
+
+
+def batched(items: Iterable[tuple], schema: pa.Schema, limit: int = 2000, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Tuples back into Arrow batches of at most ``limit`` rows, and of no more than ``size`` bytes but for the last row."""
     held: list[tuple] = []
+    total = 0
     for item in items:
         held.append(item)
-        if len(held) >= limit:
+        total += sum(map(weight, item))
+        if len(held) >= limit or total >= size:
             yield _batch(held, schema)
-            held = []
+            held, total = [], 0
     if held:
         yield _batch(held, schema)
 
@@ -100,17 +123,40 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]],
-    fields: list[tuple[str, pa.DataType, str]],
+    fields: list[tuple[str, pa.DataType, str | T.DataType]],
 ) -> DataFrame:
     """``mapInArrow`` over row tuples. ``make`` runs once a task and returns a generator function; ``fields``
-    are (name, Arrow type, Spark type)."""
+    are (name, Arrow type, Spark type or its name)."""
     ship(df.sparkSession)
     schema = pa.schema([(n, t) for n, t, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(make()(rows(batches)), schema)
 
-    return df.mapInArrow(run, ", ".join(f"`{n}` {s}" for n, _, s in fields))
+    kinds = [T.StructType.fromDDL(f"x {s}")[0].dataType if isinstance(s, str) else s for _, _, s in fields]
+    return df.mapInArrow(run, T.StructType([T.StructField(n, k) for (n, _, _), k in zip(fields, kinds, strict=True)]))
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    """The top-level column of that very name, whatever characters it has."""
+    return F.col(quoted(name))
+
+
+def carried(df: DataFrame, *dropped: str) -> list[str]:
+    """Names of ``df``'s columns but those (in any case) that an operator's own columns take the place of."""
+    taken = {c.lower() for c in dropped}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def arrow_fields(df: DataFrame, names: list[str]) -> list[tuple[str, pa.DataType, T.DataType]]:
+    """Fields of ``map_rows`` for columns of ``df`` that are handed on."""
+    own = {f.name: f.dataType for f in df.schema}
+    return [(n, to_arrow_type(own[n]), own[n]) for n in names]
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -1,13 +1,15 @@
-"""Exact library encoding through a bounded memo of white-space-delimited chunks.
+"""Exact library encoding, through a bounded memo of white-space-delimited chunks where the tokenizer allows it.
 
-The tokenizers used here never let a token span from a non-space character to a following space, and their
-pre-tokenizers look no further than the white space run that precedes a chunk. A text's encoding is therefore
-the concatenation of its chunks' encodings, and natural text repeats its chunks. Every chunk's ids come from
-the library itself; only repeats are answered from the memo, whose size is bounded.
+Whether it does is read from the tokenizer's definition: its normaliser, pre-tokenizer and added tokens must be of
+the forms below, under which no token spans from a non-space character to a following space and nothing looks
+further than the white space run that precedes a chunk. A text's encoding is then the concatenation of its chunks'
+encodings, and natural text repeats its chunks. Every chunk's ids come from the library itself; only repeats are
+answered from the memo, whose size is bounded. Under any other tokenizer every text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -24,6 +26,10 @@ MEMO_LENGTH = 48
 _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
+# The forms of a definition under which texts may be taken apart at white space.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALISERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+
 _TOKENIZERS: dict[str, object] = {}
 _ENCODERS: dict[tuple, object] = {}
 
@@ -45,6 +51,35 @@ def encoder(kind: type, path: str):
     return _ENCODERS[kind, path]
 
 
+def _parts(step: dict | None, name: str) -> list[dict]:
+    """The steps of a normaliser or pre-tokenizer, a sequence or not."""
+    return [] if step is None else step[name] if step["type"] == "Sequence" else [step]
+
+
+def _apart(definition: dict) -> bool:
+    """Whether nothing outside normaliser and pre-tokenizer ties chunks together."""
+    plain = not any(definition.get(k) for k in ("truncation", "padding", "post_processor"))
+    marks = ("single_word", "lstrip", "rstrip", "normalized")
+    return plain and not any(t[m] for t in definition["added_tokens"] for m in marks) and not any(c.isspace() for t in definition["added_tokens"] for c in t["content"])
+
+
+def drops_space(definition: dict) -> tuple[bool, bool]:
+    """(whether words between white space are encoded one by one, whether the case of ASCII letters does not matter),
+    by a tokenizer's definition: words, single digits and marks are pre-tokens of their own, white space is none."""
+    steps = _parts(definition["pre_tokenizer"], "pretokenizers")
+    split = {"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}
+    bytes_too = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    norm = _parts(definition["normalizer"], "normalizers")
+    fits = _apart(definition) and bytes_too and steps[0] == split and all(n in _WORD_NORMALISERS for n in norm)
+    return fits, fits and {"type": "Lowercase"} in norm
+
+
+def keeps_space(definition: dict) -> bool:
+    """Whether white space goes with the chunk after it: the byte-level pattern, without a prefix, without a normaliser."""
+    step = definition["pre_tokenizer"] or {}
+    return _apart(definition) and definition["normalizer"] is None and step.get("type") == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
+
+
 class ChunkMemo:
     """Packed results by chunk; ``compute`` gets the distinct chunks of a text that are not known yet."""
 
@@ -84,7 +119,7 @@ class ChunkMemo:
 
 
 class WordEncoder:
-    """Ids of texts under a tokenizer whose pre-tokenizer drops white space.
+    """Ids of texts, word by word where the pre-tokenizer drops white space.
 
     ``packed(text)`` holds ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian numbers of
     ``dtype``.
@@ -94,11 +129,12 @@ class WordEncoder:
         self.library = tokenizer(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo = ChunkMemo(self._encode)
-        plain, capital, *marked = self._library([b"ab", b"Ab", b"ab,", b"ab."])
-        tails = dict(zip([b",", b"."], self._library([b",", b"."]), strict=True))
-        #: Whether an ASCII word's case does not matter and a comma or stop after it is a token run of its own.
-        self.folds = plain == capital and marked == [plain + t for t in tails.values()]
-        self.tails = tails if self.folds else {}
+        definition = json.loads(self.library.to_str())
+        #: ``folds``: an ASCII word's case does not matter either, and a comma or stop after it is a token run of its own.
+        self.by_word, self.folds = drops_space(definition)
+        self.folds &= not any(t["content"].isalpha() for t in definition["added_tokens"])
+        marks = [b",", b"."] if self.folds else []
+        self.tails = dict(zip(marks, self._library(marks), strict=True))
 
     def _library(self, pieces: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
@@ -124,15 +160,18 @@ class WordEncoder:
         return [(new[stem] if known is None else known) + tail for stem, tail, known in parts]
 
     def packed(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._library([text.encode()])[0]
         return b"".join(self.memo.get(text.encode().split()))
 
 
 class SpanEncoder:
-    """Character spans of the tokens of texts under a byte-level tokenizer (white space stays in tokens)."""
+    """Character spans of the tokens of texts, chunk by chunk under a byte-level tokenizer (white space stays in tokens)."""
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.memo = ChunkMemo(self._encode)
+        self.by_chunk = keeps_space(json.loads(self.library.to_str()))
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.library.encode_batch(chunks, add_special_tokens=False)
@@ -140,6 +179,8 @@ class SpanEncoder:
 
     def spans(self, text: str) -> np.ndarray:
         """(start, end) in code points of every token, in order."""
+        if not self.by_chunk:
+            return np.frombuffer(self._encode([text])[0], "<i4").reshape(-1, 2).astype(np.int64)
         chunks = _CHUNK.findall(text)
         if not chunks:
             return np.empty((0, 2), np.int64)

@@ -1,8 +1,9 @@
 """Token counts by section: offset-mapped attribution.
 
-A document is encoded once, whole. The tokens' character spans are then interval-joined to the document's
-section spans, and a token that crosses a section's end is given to one section by a stated rule, so that the
-sections' counts add up to the document's count and no section is ever encoded by itself.
+A document is encoded once, whole (where the tokenizer's definition allows it, by chunks between which no token can
+span; see ``encoding``). The tokens' character spans are then interval-joined to the document's section spans, and a
+token that crosses a section's end is given to one section by a stated rule, so that the sections' counts add up to
+the document's count and no section is ever encoded by itself.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skarn.llm.common import default_tokenizer, map_rows
+from skarn.llm.common import column, default_tokenizer, map_rows
 from skarn.llm.encoding import SpanEncoder, encoder
 
 RULES = ("first", "largest")
@@ -73,13 +73,14 @@ def token_counts(
     ``sections_col`` names an array of structs whose first two fields are a start and an end in code points
     (disjoint, any order; bounds are clipped to the text, and null bounds make an empty section); without it
     a text's lines are its sections. A null text is empty; an empty text has one empty section. A null id
-    stays null, and repeated rows give repeated results. Other columns are neither read nor returned.
+    stays null, a text id stays text, and repeated rows give repeated results. Other columns are neither read nor
+    returned.
     Scan-only: no shuffle; memory is one Arrow batch and the chunk memo.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = tokenizer_path or default_tokenizer("byte_bpe_50k.json")
-    own = [F.col(sections_col)] if sections_col else []
+    own = [column(sections_col)] if sections_col else []
     stated = bool(sections_col)
 
     def make():
@@ -101,12 +102,13 @@ def token_counts(
 
         return run
 
-    id_type = docs.schema[id_col].dataType.simpleString()
+    text_id = docs.schema[id_col].dataType.typeName() == "string"
+    identity = column(id_col) if text_id else column(id_col).cast("bigint")
     return map_rows(
-        docs.select(F.col(id_col), F.col(text_col), *own),
+        docs.select(identity.alias(id_col), column(text_col), *own),
         make,
         [
-            (id_col, pa.string() if id_type == "string" else pa.int64(), "string" if id_type == "string" else "bigint"),
+            (id_col, pa.string() if text_id else pa.int64(), "string" if text_id else "bigint"),
             ("section_no", pa.int64(), "bigint"),
             ("char_start", pa.int64(), "bigint"),
             ("char_end", pa.int64(), "bigint"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.conftest import EDGES
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, models, normalizers, pre_tokenizers
 
 from skarn.llm import token_counts, token_files
 from skarn.llm.common import default_tokenizer, shared_path
@@ -112,12 +113,88 @@ def test_token_files_round_trip(spark, edges, nothing, word_library):
         n = -(-m.n_tokens // 16)
         both = [reader.sequence(i) for i in range(n)]
         assert np.concatenate([ids[mask] for ids, mask in both]).tolist() == stream.tolist()
-        assert all(len(ids) == 16 and not ids.flags.owndata for ids, _ in both)
+        assert all(len(ids) == 16 and not ids.flags.owndata and not mask.flags.owndata for ids, mask in both)
         assert sum(int(mask.sum()) for _, mask in both) == m.n_tokens
     empty = shared_path(spark, "test")
     assert token_files.read_token_digests(token_files.write_token_files(nothing, empty), empty).count() == 0
 
 
+def test_hot_ids_fill_several_shards(spark, word_library):
+    """One id, and null ids, on most rows: shards stay near their size, and what is read back is what went in."""
+    rows = [(7, f"text number {k % 50}") for k in range(600)] + [(None, "same")] * 300 + [(k, "x") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = shared_path(spark, "test")
+    manifest = token_files.write_token_files(docs, out, seq_len=8, shard_tokens=200)
+    sizes = [r.n_tokens for r in manifest.collect()]
+    total = sum(len(word_library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sum(sizes) == total and len(sizes) > 8 and max(sizes) < total / 4
+    found = sorted((tuple(r) for r in token_files.read_token_digests(manifest, out).collect()), key=lambda r: r[1])
+    assert [r[0] or -1 for r in found] == sorted(r[0] or -1 for r in found)
+    want = _digests(word_library, rows)
+    assert sorted((r[0] or -1, r[2], r[3]) for r in found) == sorted((r[0] or -1, r[2], r[3]) for r in want)
+    assert [r[1] for r in found] == np.r_[0, np.cumsum([r[2] for r in found])][:-1].tolist()
+
+
+def _foreign(kind):
+    """Tokenizers whose definitions do not allow chunks: a mark merged with its word, a prefix space, white space split."""
+    if kind == "marks":
+        vocab = {t: k for k, t in enumerate(["e", "t", "c", ".", "et", "etc", "etc.", "E", " "])}
+        own = Tokenizer(models.BPE(vocab, [("e", "t"), ("et", "c"), ("etc", ".")]))
+        own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return own
+    own = Tokenizer.from_file(BYTE)
+    if kind == "prefix":
+        own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif kind == "accents":
+        own.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents()])
+    elif kind == "added":
+        own.add_tokens([AddedToken("new york", lstrip=True, rstrip=True)])
+    return own
+
+
+@pytest.mark.parametrize("kind", ["marks", "prefix", "accents", "added", "bytes"])
+def test_foreign_tokenizers_are_served_whole(tmp_path, kind):
+    library = _foreign(kind)
+    library.save(str(tmp_path / "own.json"))
+    words, spans = WordEncoder(str(tmp_path / "own.json")), SpanEncoder(str(tmp_path / "own.json"))
+    assert not words.by_word and spans.by_chunk == (kind == "bytes")
+    for text in ["etc. Etc. etc", "a  new york b", " x\n\ny ", "déjà vu, vu.", "", "e t c."]:
+        found = library.encode(text, add_special_tokens=False)
+        assert np.frombuffer(words.packed(text), words.dtype).tolist() == found.ids
+        assert spans.spans(text).tolist() == [list(o) for o in found.offsets]
+
+
+def brute_sections(text, offsets):
+    """(start, end, tokens, crossing) of every line: each token looked at by itself and given to the first line it touches."""
+    bounds, at = [], 0
+    for line in re.findall(r"[^\n]*\n+|[^\n]+", text) or [""]:
+        bounds.append([at, at + len(line), 0, 0])
+        at += len(line)
+    for a, b in offsets:
+        touched = [s for s in bounds if s[0] < max(b, a + 1) and a < s[1]]
+        if touched:
+            touched[0][2] += 1
+            touched[0][3] += len(touched) > 1
+    return [tuple(s) for s in bounds]
+
+
+def test_token_counts_query(spark, sf, byte_library):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found: dict = {}
+    for r in token_counts.op1_token_counts(spark, sf).orderBy("doc_id", "section_no").collect():
+        found.setdefault(r.doc_id, []).append((r.char_start, r.char_end, r.n_tokens, r.n_crossing))
+    assert found == {i: brute_sections(t, byte_library.encode(t, add_special_tokens=False).offsets) for i, t in docs.items()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS)
+def test_line_counts_of_random_texts(byte_library, text):
+    spans = np.array(token_counts.line_sections(text), np.int64).reshape(-1, 2)
+    counts = token_counts.attribute(encoder(SpanEncoder, BYTE).spans(text), spans, "first")
+    want = brute_sections(text, byte_library.encode(text, add_special_tokens=False).offsets)
+    assert [(a, b, n, c) for (a, b), n, c in zip(spans.tolist(), *map(np.ndarray.tolist, counts), strict=True)] == want
+
+
 def test_token_files_query(spark, sf, word_library):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = sorted((tuple(r) for r in token_files.op2_token_files(spark, sf).collect()), key=lambda r: r[1])
