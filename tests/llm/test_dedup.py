@@ -34,8 +34,12 @@ def test_exact_dedup_edges(spark, edges, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
-def test_colliding_buckets_only_cost_time(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BUCKETS", 2)
+@pytest.mark.parametrize("most", [1 << 30, 1])
+def test_colliding_buckets_only_cost_time(spark, monkeypatch, most):
+    """A bitmap of two bits, which every row passes, gives the same groups."""
+    if most == 1:
+        monkeypatch.setattr(exact_dedup, "LEAST_BITS", 2)
+        monkeypatch.setattr(exact_dedup, "MOST_BITS", 2)
     docs = spark.createDataFrame([(i, "x" * (i % 7) + str(i % 3)) for i in range(60)], "doc_id bigint, text string")
     rows = exact_dedup.exact_dedup(docs).collect()
     for r in rows:
@@ -43,6 +47,23 @@ def test_colliding_buckets_only_cost_time(spark, monkeypatch):
         assert (r.keep_id, r.group_size, r.kept) == (min(same), len(same), r.doc_id == min(same))
 
 
+def test_only_survivors_are_hashed(spark):
+    """Of 3,000 rows the 90 that share length and prefix with another are hashed in full, and a few by chance."""
+    rng = random.Random(4)
+    texts = [f"{i:04d}" + "y" * (i % 37) for i in range(2_900)]  # lengths recur, prefixes do not
+    texts += [f"group {k} " + "z" * 100 + f"{e}" for k in range(30) for e in "aab"]  # a prefix of 64, two endings
+    texts += ["w" * (200 + 7 * k) for k in range(10)]  # lengths of their own
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = {r.id for r in exact_dedup.survivors(docs, "doc_id", "text").collect()}
+    assert ids == {i for i, t in enumerate(texts) if t.startswith("group")}
+    hits = exact_dedup.sieve(exact_dedup.survivors(docs, "doc_id", "text")).applied(docs, "doc_id", "hit").where("hit")
+    found = {r.doc_id for r in hits.collect()}
+    assert ids <= found and len(found) < len(ids) + 300
+    rows = exact_dedup.exact_dedup(docs).where("group_size > 1").collect()
+    assert len(rows) == 60 and all(r.group_size == 2 for r in rows)
+
+
 def brute_fingerprint(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
