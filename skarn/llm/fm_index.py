@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import free_name, map_rows
+from skarn.llm.common import arrow_fields, carried, column, free_name, map_rows
 
 WINDOW = 10
 #: Words of a shard; a document is never cut, so that one document alone may exceed it.
@@ -23,7 +23,7 @@ SHARD_WORDS = 1 << 19
 #: Every so many-th text position has its suffix marked.
 SAMPLE = 8
 #: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -133,32 +133,35 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of a block of benchmark items, over the block's own vocabulary."""
+    """Windows of a block of benchmark items, over the block's own vocabulary. An item without id has windows, but no
+    place among ``item_ids``. About 60 bytes a word are kept."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], int] = {}
-        pairs: set[tuple[int, int]] = set()
         self.item_ids: list[str] = []
+        rows, owners = [np.empty((0, window), np.int32)], [np.empty(0, np.int64)]
         for item_id, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if not numbers or item_id is None:
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32)
+            if not len(numbers):
                 continue
-            own = len(self.item_ids)
-            self.item_ids.append(str(item_id))
-            for i in range(max(1, len(numbers) - window + 1)):
-                pairs.add((windows.setdefault(tuple(numbers[i : i + window]), len(windows)), own))
-        self.lengths = np.fromiter(map(len, windows), np.int64, len(windows))
-        self.rows = np.zeros((len(windows), window), np.int64)
-        for k, w in enumerate(windows):
-            self.rows[k, window - len(w) :] = w
-        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.items = table[:, 1]
-        self.starts = np.searchsorted(table[:, 0], np.arange(len(windows) + 1))
+            short = np.full(max(0, window - len(numbers)), -1, np.int32)  # before the words: rows are aligned right
+            own = np.lib.stride_tricks.sliding_window_view(np.r_[short, numbers], window)
+            rows.append(own)
+            owners.append(np.full(len(own), -1 if item_id is None else len(self.item_ids)))
+            if item_id is not None:
+                self.item_ids.append(str(item_id))
+        every = np.ascontiguousarray(np.concatenate(rows))
+        _, first, number = np.unique(every.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        self.rows = every[first]
+        self.lengths = (self.rows >= 0).sum(axis=1)
+        owner = np.concatenate(owners)
+        pairs = np.unique(np.stack([number[owner >= 0], owner[owner >= 0]], axis=1), axis=0)
+        self.items = pairs[:, 1]
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
 
     def numbered(self, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(windows whose words the shard has, their rows in the shard's numbers, lengths)."""
-        of = np.fromiter((vocabulary.get(w, -1) for w in self.vocabulary), np.int64, len(self.vocabulary))
+        of = np.fromiter((vocabulary.get(w, -1) for w in self.vocabulary), np.int32, len(self.vocabulary))
         if not len(of):
             return np.empty(0, np.int64), self.rows, self.lengths
         rows = of[self.rows]
@@ -207,7 +210,7 @@ def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: in
     """The benchmark's windows as broadcasts of at most BLOCK_BYTES of text each (one item may exceed it); the
     driver holds one block at a time, and so does a task."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    items = benchmark.select(column(item_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = max(1, -(-2 * int(size) // BLOCK_BYTES))
     blocks = []
@@ -230,17 +233,16 @@ def find_contamination(
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one; a document word inside
     any occurrence of a window is hit. A null or wordless text has no words and no hits; a null or wordless
-    item has no windows, and an item without id is left out; items that repeat an id count once. ``item_ids``
-    are sorted as strings. Columns of ``docs`` that bear an output column's name give way to it. Empty tables
+    item has no windows; words in windows of an item without id are hit, but it is not among ``item_ids``; items that
+    repeat an id count once. ``item_ids`` are sorted as strings. Columns of ``docs`` that bear an output column's name give way to it. Empty tables
     give empty results or no hits. One scan of the documents, no shuffle; a task holds one shard.
     """
     new = ("n_words", "n_hit", "hit_spans", "item_ids")
-    kept = [c for c in docs.columns if c.lower() not in new]
+    kept = carried(docs, *new)
     blocks = phrase_blocks(benchmark, item_col, item_text_col, window)
     many = len(blocks) > 1
-    schema = docs.select(*kept).schema
     text = free_name(docs, "decontamination_text")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(text))
+    source = docs.select(*[column(c) for c in kept], column(text_col).alias(text))
 
     def loaded() -> Iterator[Phrases]:
         for b in blocks:
@@ -270,9 +272,7 @@ def find_contamination(
 
         return run
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = [(f.name, to_arrow_type(f.dataType), f.dataType.simpleString()) for f in schema]
+    fields = arrow_fields(source, kept)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     fields += [
         ("n_words", pa.int64(), "bigint"),
@@ -294,7 +294,6 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
 def digest(item_ids: list[str]) -> str:
     """The query's digest of item ids, for tests."""
     return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()

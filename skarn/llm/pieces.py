@@ -24,10 +24,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from skarn.llm.common import default_tokenizer, free_name, map_rows
+from skarn.llm.common import arrow_fields, carried, column, default_tokenizer, free_name, map_rows
 
 SPACE = "▁"
 #: Units kept by a worker for good (the first seen, so the frequent ones) and until the next emptying; pairs.
@@ -216,9 +215,9 @@ def encode_pieces(
     """
     path = model_path or default_tokenizer("piece_bpe_32k.model")
     new = ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in docs.columns if c.lower() not in new and c.lower() != text_col.lower()]
+    kept = carried(docs, *new, text_col)
     body = free_name(docs, "piece_text")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias(body))
+    source = docs.select(*[column(c) for c in kept], F.coalesce(column(text_col), F.lit("")).alias(body))
 
     def make():
         encoder = piece_encoder(path)
@@ -235,7 +234,7 @@ def encode_pieces(
 
         return run
 
-    fields = [(f.name, to_arrow_type(f.dataType), f.dataType.simpleString()) for f in source.select(*kept).schema]
+    fields = arrow_fields(source, kept)
     if not digests_only:
         fields += [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")]
     fields += [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import map_rows
-from skarn.llm.training import held_out, sample_ids, texts_of, train_ids
+from skarn.llm.common import arrow_fields, carried, column, free_name, map_rows
+from skarn.llm.training import features_of, held_out, sample_ids, train_ids
 
 #: Trusted positives and unlabelled documents that a model is fitted on, at most (bounded, documented samples).
 TRAIN_POSITIVE, TRAIN_UNLABELLED = 6_000, 8_000
@@ -137,21 +137,23 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None = None, decay: float =
             scores.append(estimate_prior(p[1 - fold :: 2] @ w, u[1 - fold :: 2] @ w))
         prior = float(np.mean(scores))
 
-    def risk(w):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        plus = -(p.T @ (1 - sp)) / len(p)
-        minus_u, minus_p = (u.T @ su) / len(u), (p.T @ sp) / len(p)
-        loss_u = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-        if loss_u < 0:  # the negative part has been fitted below zero: only undo it
-            return -(minus_u - prior * minus_p) + decay * w
-        return prior * plus + minus_u - prior * minus_p + decay * w
+    return _descend(lambda w: risk(w, p, u, prior, decay)[1], weights), prior
 
-    return _descend(risk, weights), prior
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """(non-negative unbiased risk under the logistic loss, the step's gradient, with decay)."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    plus = -(p.T @ (1 - sp)) / len(p)
+    minus = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
+    above = prior * np.logaddexp(0, -(p @ w)).mean()
+    below = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    if below < 0:  # the negative part has been fitted below zero: only undo it
+        return above, -minus + decay * w
+    return above + below, prior * plus + minus + decay * w
 
 
 def _matrix(features: DataFrame) -> np.ndarray:
-    rows = features.orderBy("doc_id", "x").toPandas()
-    return np.array(rows["x"].tolist(), float).reshape(-1, FEATURES)
+    return np.array([r.x for r in features.collect()], float).reshape(-1, FEATURES)
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -170,8 +172,8 @@ def _features(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, positive: int = TRAIN_POSITIVE, unlabelled: int = TRAIN_UNLABELLED) -> tuple[np.ndarray, float]:
     """(weights, prior). Positives are labelled rows of quality 1 outside the held-out fold; the unlabelled are
     documents drawn whatever their label. Negative labels are not read."""
-    p = _matrix(_features(texts_of(docs, train_ids(labels, "quality", 1, positive))))
-    u = _matrix(_features(texts_of(docs, sample_ids(docs.select("doc_id"), unlabelled))))
+    p = _matrix(features_of(docs, train_ids(labels, "quality", 1, positive), positive, _features))
+    u = _matrix(features_of(docs, sample_ids(docs.select("doc_id"), unlabelled), unlabelled, _features))
     return fit(p, u)
 
 
@@ -180,18 +182,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     all columns of ``docs`` and those three (columns of these names give way to them).
 
     ``labels`` has ``doc_id`` and ``quality``; null labels and ids are not learned from. A null or empty text is
-    scored like a text without tokens. A null id is carried and not held out; repeated rows give repeated
+    scored like a text without tokens. Ids are whole numbers, or text that holds them. A null id is carried and not held out; repeated rows give repeated
     results. Only id and text enter a score. An empty table gives an empty result. Training uses bounded
     samples; scoring is one scan without shuffle.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    own = docs.select(column("doc_id").cast("bigint").alias("doc_id"), column("text").alias("text"))
     weights, _ = train(own, labels)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     new = ("held_out", "score", "predicted")
-    kept = [c for c in docs.columns if c.lower() not in new] if carry else ["doc_id"]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("quality_text"))
+    kept = carried(docs, *new) if carry else ["doc_id"]
+    body, fold = free_name(docs, "quality_text"), free_name(docs, "quality_fold")
+    source = docs.select(*[column(c) for c in kept], held_out(column("doc_id")).alias(fold), column("text").alias(body))
 
     def make():
         w, features = shared.value, Features()
@@ -203,7 +204,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
         return run
 
-    fields = [(f.name, to_arrow_type(f.dataType), f.dataType.simpleString()) for f in source.select(*kept).schema]
+    fields = arrow_fields(source, kept)
     fields += [("held_out", pa.bool_(), "boolean"), ("score", pa.float64(), "double"), ("predicted", pa.int32(), "int")]
     return map_rows(source, make, fields)
 

@@ -15,6 +15,7 @@ square of a group.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,31 +24,56 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import map_rows, materialise, ship
+from skarn.llm.common import column, free_name, map_rows, materialise, quoted, ship
 
 SHINGLE_WORDS = 4
 THRESHOLD = 4
-BLOCKS = 3
+#: Numbers of blocks to choose from, and about how many comparisons a replica costs (it is written, shuffled and sorted).
+BLOCKS = (3, 2)
+REPLICA_COST = 60
+#: Replicas that a task compares, about.
+TASK_REPLICAS = 400_000
+#: Shingles of a text that are hashed at once.
+SLICE = 1 << 16
 #: Replicas of an anchor that are compared in one group; more are cut into chunks of this size.
 CHUNK = 2_000
 #: Pairs compared at once in memory.
 _PAIRS = 1 << 21
+_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
+
+
+def joined_words(text: str | None) -> bytes:
+    """A text's words with A-Z lower-cased, in UTF-8, one space between them."""
+    low = (text or "").encode().lower()  # bytes: A-Z only, ASCII white space only
+    return b" ".join(low.split()) if len(low) < SLICE else _SPACE.sub(b" ", low).strip(b" ")
+
+
+def shingle_hashes(joined: bytes, k: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the k-word shingles of joined words, in order and in slices, so that a long text's hashes are
+    never all held as Python numbers. Fewer words are one shingle, no words an empty one."""
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    ends = np.r_[gaps, len(joined)]
+    k = min(k, len(ends))
+    starts, ends = np.r_[0, gaps + 1][: len(ends) - k + 1], ends[k - 1 :]
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(starts), SLICE):
+        cuts = zip(starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist(), strict=True)
+        yield np.array([digest(joined[a:b], 42) for a, b in cuts], np.uint64)
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """SimHash of a text's word shingles (repeats included), as a signed 64-bit number; no words: 0."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
-    if not words:
+    return fingerprint_of(joined_words(text), shingle_words)
+
+
+def fingerprint_of(joined: bytes, shingle_words: int) -> int:
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(e + 1 for e in ends)]
-    k = min(shingle_words, len(words))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(joined, shingle_words):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 class Covering:
@@ -92,6 +118,19 @@ def coverings(blocks: int, threshold: int) -> list[Covering]:
     return [Covering(a, b - a, threshold // blocks) for a, b in itertools.pairwise(cuts)]
 
 
+def choose_blocks(n: int, threshold: int) -> int:
+    """The number of blocks that costs n fingerprints least: fewer blocks make more replicas, and fewer meet in each. The
+    links do not depend on it."""
+
+    def cost(blocks: int) -> float:
+        codes = coverings(blocks, threshold)
+        replicas = sum(sum(map(len, c.masks)) / len(c.masks) for c in codes)
+        met = n * sum(sum(map(len, c.masks)) / (1 << c.width) for c in codes)
+        return replicas * REPLICA_COST + met
+
+    return min(BLOCKS, key=cost)
+
+
 def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its connected set) of the links a-b, but for those smallest nodes themselves."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -137,9 +176,11 @@ def close_pairs(key: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: i
     return spanning_stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def links(nodes: DataFrame, threshold: int, blocks: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v), u > v, that connect exactly the distinct fingerprints ``fp`` linked within ``threshold``."""
+def links(nodes: DataFrame, threshold: int, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v), u > v, that connect exactly the distinct fingerprints ``fp`` linked within ``threshold``. ``blocks``
+    is chosen by the number of fingerprints unless given. Replicas are made once and written."""
     ship(nodes.sparkSession)
+    blocks = blocks or choose_blocks(nodes.count(), threshold)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = coverings(blocks, threshold)
@@ -152,7 +193,8 @@ def links(nodes: DataFrame, threshold: int, blocks: int, chunk: int = CHUNK) ->
                     key = (anchor | np.uint64(k << 58)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
-    replicas = nodes.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, home boolean")
+    replicas = materialise(nodes.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, home boolean"), "simhash-replicas")
+    tasks = max(1, -(-replicas.count() // TASK_REPLICAS))
     counts = replicas.groupBy("anchor").count().where(F.col("count") > chunk)
     hot = materialise(counts.select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("cuts")), "simhash-hot")
     dealt = replicas.join(hot, "anchor", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
@@ -164,8 +206,7 @@ def links(nodes: DataFrame, threshold: int, blocks: int, chunk: int = CHUNK) ->
     single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").alias("home")))
     cells = F.when(F.col("cuts") == 1, single).otherwise(F.concat(F.coalesce(as_home, F.array().cast("array<struct<i:int,j:int,home:boolean>>")), as_member))
     dealt = dealt.select("anchor", "fp", F.explode(cells).alias("c")).select("anchor", "fp", "c.i", "c.j", "c.home")
-    n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(n, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    dealt = dealt.repartition(tasks, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -231,15 +272,15 @@ def simhash_components(
     text_col: str = "text",
     shingle_words: int = SHINGLE_WORDS,
     threshold: int = THRESHOLD,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """One row a document: id, ``fp`` (signed 64-bit fingerprint), ``component_id``.
 
     Fingerprints within ``threshold`` differing bits are linked; ``component_id`` is the smallest id reachable.
     A null or wordless text has fingerprint zero, linked like any other. A null id is carried, but is no
     component's id unless all ids of the component are null; repeated rows give repeated results. Other
-    columns are not read. An empty table gives an empty result. ``blocks``: 3 suits up to some ten million
-    distinct fingerprints; 2 replicates eight times as much and compares a thousandth.
+    columns are not read. Ids are whole numbers, or text that holds them. An empty table gives an empty result.
+    ``blocks`` is chosen by the number of distinct fingerprints unless given; it changes the cost alone.
     """
 
     def make():
@@ -250,7 +291,7 @@ def simhash_components(
         return run
 
     fields = [("id", pa.int64(), "bigint"), ("fp", pa.int64(), "bigint")]
-    prints = map_rows(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), make, fields)
+    prints = map_rows(docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text")), make, fields)
     prints = materialise(prints, "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     stars = components(links(nodes, threshold, blocks))
@@ -263,14 +304,21 @@ def simhash_components(
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", **parameters: int) -> DataFrame:
     """Rows of ``docs``, with all their columns, that stay: of each component those of the smallest id; all rows
-    with a null id stay, since no id tells them apart. Parameters are those of ``simhash_components``.
+    with a null id stay, since no id tells them apart. Parameters are those of ``simhash_components``."""
+    return without_followers(docs, id_col, simhash_components(docs, id_col, **parameters))
+
+
+def without_followers(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+    """``docs`` without the ids whose component is named by another one.
 
     Dropped ids are written to the shared folder and anti-joined; the join broadcasts them only while Spark's
     own size check allows it, and its keys are ids, which are spread evenly.
     """
-    found = simhash_components(docs, id_col, **parameters)
-    dropped = found.where((F.col(id_col) != F.col("component_id")) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return docs.join(materialise(dropped, "simhash-dropped"), id_col, "left_anti").select(*docs.columns)
+    name = free_name(docs, "dropped_id")
+    own = column(id_col)
+    dropped = found.where((own != F.col("component_id")) & own.isNotNull()).select(own.alias(name)).distinct()
+    dropped = materialise(dropped, "simhash-dropped")
+    return docs.join(dropped, docs[quoted(id_col)].cast("bigint") == dropped[name], "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

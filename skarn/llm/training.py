@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ def train_ids(labels: DataFrame, label_col: str, value: int, bound: int) -> Data
     return sample_ids(own.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), bound)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) of a bounded sample of ids; the ids are broadcast, the texts are not shuffled."""
+def features_of(docs: DataFrame, ids: DataFrame, bound: int, features: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``features`` of the rows (doc_id, text) of a sample of at most ``bound`` ids, of at most ``bound`` rows also where ids
+    repeat (the first in order of id and a hash of the text). The ids are broadcast, texts are not shuffled, and what is
+    gathered are features."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.join(F.broadcast(ids), "doc_id", "left_semi")
+    found = features(own.join(F.broadcast(ids), "doc_id", "left_semi"))
+    return found.orderBy("doc_id", F.xxhash64(*[c for c in found.columns if c != "doc_id"])).limit(bound)

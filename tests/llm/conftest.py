@@ -21,8 +21,8 @@ EDGES = [
 @pytest.fixture(scope="session")
 def edges(spark):
     """Edge rows, with extra columns whose names clash with the operators' own."""
-    rows = [(i, t, "x", i, True, 3, "y", "z") for i, t in EDGES]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, keep_id bigint, KEPT boolean, n_words int, ids string, score string").coalesce(2)
+    rows = [(i, t, "x", i, True, 3, "y", "z", 4, "v", 5) for i, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, keep_id bigint, KEPT boolean, n_words int, ids string, score string, `a.b` int, quality_text string, `sieve ``bits` int").coalesce(2)
 
 
 @pytest.fixture(scope="session")

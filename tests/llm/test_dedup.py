@@ -21,7 +21,7 @@ def test_exact_dedup_query(spark, sf):
 
 def test_exact_dedup_edges(spark, edges, nothing):
     out = exact_dedup.exact_dedup(edges)
-    assert out.columns == ["doc_id", "text", "lang", "n_words", "ids", "score", "keep_id", "group_size", "kept"]
+    assert out.columns == ["doc_id", "text", "lang", "n_words", "ids", "score", "a.b", "quality_text", "sieve `bits", "keep_id", "group_size", "kept"]
     rows = out.collect()
     assert len(rows) == len(EDGES)
     groups: dict[str, list] = {}

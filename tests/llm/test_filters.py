@@ -160,7 +160,7 @@ def test_secret_query(spark, sf, edges, nothing):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, _, k in base) for n in sec.KINDS[:3]]
         assert r.base_sha256 == sec.digest(base)
     found = sec.scan_secrets(edges)
-    assert found.columns == ["doc_id", "lang", "keep_id", "KEPT", "n_words", "ids", "score", "n_assign", "n_access", "n_hex", "base", "secrets"]
+    assert found.columns == ["doc_id", "lang", "keep_id", "KEPT", "n_words", "ids", "score", "a.b", "quality_text", "sieve `bits", "n_assign", "n_access", "n_hex", "base", "secrets"]
     assert found.count() == len(EDGES) and sec.scan_secrets(nothing).count() == 0
 
 

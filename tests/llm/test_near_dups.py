@@ -59,6 +59,32 @@ def test_stage_on_copies_around_the_threshold(spark):
     assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, df, "").collect()} == brute_kept(docs)
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text, each changed in its own places, and others that differ from it a little too much: few pairs are
+    compared for the whole group, and what is kept is what brute force keeps. Hot elements are spread."""
+    monkeypatch.setattr(near_dups, "HOT", 20)
+    rng = random.Random(8)
+    first = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    texts = []
+    for k in range(260):
+        edited = list(first)
+        for _ in range(1 + k % 3 if k < 200 else 7):
+            edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(edited))
+    docs = list(enumerate(texts, 1))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    compared = []
+    verified = near_dups._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_dups, "_verified", counted)
+    assert {r.doc_id for r in near_dups.one_per_near_component(df).collect()} == brute_kept(docs)
+    assert sum(compared) < 260 * 259 / 2 * 0.6
+
+
 def test_near_edges(spark, edges, nothing):
     kept = near_dups.one_per_near_component(edges)
     assert kept.columns == edges.columns

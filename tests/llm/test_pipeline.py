@@ -10,7 +10,7 @@ from pathlib import Path
 import corpus_pipeline
 import sentencepiece
 from llm.test_contamination import brute
-from llm.test_dedup import brute_components, brute_fingerprint
+from llm.test_near_dups import brute_kept
 
 from skarn.llm.common import default_tokenizer
 
@@ -37,8 +37,7 @@ def test_stages(spark, sf):
     assert len(rows) == len(groups)
 
     near = {r.doc_id for r in stages["near-dedup"](spark, docs, sf).collect()}
-    prints = [(r.doc_id, brute_fingerprint(r.text)) for r in before]
-    assert near == set(brute_components(prints))
+    assert near == brute_kept([(r.doc_id, r.text) for r in before])
 
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in stages["decontamination"](spark, docs, sf).collect()}

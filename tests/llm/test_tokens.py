@@ -229,7 +229,7 @@ def test_piece_query(spark, sf, edges, nothing):
     for r in op4_pieces(spark, sf).collect():
         assert tuple(r)[1:] == digest(docs[r.doc_id])
     full = encode_pieces(edges)
-    assert full.columns == ["doc_id", "lang", "keep_id", "KEPT", "n_words", "score", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert full.columns == ["doc_id", "lang", "keep_id", "KEPT", "n_words", "score", "a.b", "quality_text", "sieve `bits", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
     found = sorted(((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in full.collect()))
     assert found == sorted((i or 0, *digest(t)) for i, t in EDGES)
     assert encode_pieces(nothing).count() == 0
