@@ -25,6 +25,19 @@ def trunc_number(x: Column, digits: int, exact: bool = False) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale) / scale
 
 
+def whole_power(x: Column, y: Column) -> Column:
+    """x to the power of y, whole numbers, exact up to 38 digits and an error beyond; a negative y truncates toward zero.
+    The power is a product over the bits of y, so that its cost follows the logarithm of y."""
+    one, zero = (F.lit(n).cast("decimal(38,0)") for n in (1, 0))
+    base, power = x.cast("decimal(38,0)"), y.cast("bigint")
+    sign = F.when((x < 0) & (power % 2 != 0), -one).otherwise(one)
+    bits = F.transform(F.sequence(F.lit(6), F.lit(0)), lambda k: F.getbit(F.greatest(power, F.lit(0)), k))
+    product = F.aggregate(bits, one, lambda acc, bit: (acc * acc * F.when(bit == 1, base).otherwise(one)).cast("decimal(38,0)"))
+    much = F.raise_error(F.lit("POWER exceeds 38 digits")).cast("decimal(38,0)")
+    small = F.when(power == 0, one).when(x == 0, F.when(power > 0, zero)).when(F.abs(x) == 1, sign)
+    return F.when(x.isNull() | power.isNull(), F.lit(None)).when((power == 0) | (F.abs(x) <= 1), small).when(power < 0, zero).when(power > 127, much).otherwise(product)
+
+
 def substring(s: Column, start: Column | None, length: Column | None) -> Column:
     """1-based characters; start 0 is 1, a negative start gives an empty string, a negative length runs to the end."""
     start = F.lit(1) if start is None else F.when(start == 0, 1).otherwise(start)

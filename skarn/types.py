@@ -77,6 +77,8 @@ class Column:
 INT, BIGINT, DOUBLE, TEXT, BOOLEAN = map(SqlType, ("INT", "BIGINT", "DOUBLE PRECISION", "TEXT", "BOOLEAN"))
 DATE, TIME, TIMESTAMP, INTERVAL_TYPE, JSONB, NULL = map(SqlType, ("DATE", "TIME", "TIMESTAMP", "INTERVAL", "JSONB", "NULL"))
 NUMERIC = SqlType("NUMERIC")
+#: Whole numbers beyond 64 bits.
+WIDE = SqlType("NUMERIC", (38, 0))
 
 
 def of_spark(t: T.DataType) -> SqlType:

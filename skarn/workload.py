@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.errors import SqlError
 from skarn.session import Engine
 from skarn.streaming import windowed_counts
 from skarn.types import JSONB, SqlType
@@ -228,8 +229,8 @@ SQL: dict[str, tuple[str, str]] = {
         f"SELECT o_orderkey, o_orderpriority FROM orders ORDER BY {_ORDINAL.format('o_orderpriority')}, o_orderkey LIMIT 40",
     ),
     "bench_simple_join": (
-        "SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F' ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 100;",
-        "SELECT c_name, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 100",
+        "SELECT c.c_name, o.o_orderkey, o.o_totalprice FROM customer AS c JOIN orders AS o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F' ORDER BY o.o_totalprice DESC, o.o_orderkey;",
+        "SELECT c_name, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' ORDER BY orders.o_totalprice DESC, o_orderkey",
     ),
     "bench_join_aggregate": (
         "SELECT c.c_mktsegment, COUNT(o.o_orderkey) AS n, SUM(o.o_totalprice) AS total, AVG(o.o_totalprice) AS mean FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment ORDER BY total DESC;",
@@ -292,6 +293,55 @@ SCRIPTS: dict[str, tuple[str, str]] = {
         " SELECT id, d + INTERVAL '1 month' AS a, d - INTERVAL '35 days' AS b, t + INTERVAL '2 hours' AS c, t - INTERVAL '1 hour' AS e FROM days;",
         "SELECT * FROM (VALUES (1, DATE '2024-02-29', DATE '2023-12-27', '01:30:00', '22:30:00'), (2, DATE '2023-03-28', DATE '2023-01-24', '02:10:00', '23:10:00')) AS t(id, a, b, c, e)",
     ),
+    "json_min_max": (
+        "CREATE TABLE docs (id SERIAL PRIMARY KEY, body JSONB); INSERT INTO docs (body) VALUES ({q: 2, order: 'b', key: 1}), ({q: 10, order: 'a', key: 3}), ({q: 9.5, Index: 1}), ({other: 1});"
+        " SELECT MIN(body.q) AS low, MAX(body.q) AS high, MIN(body.order) AS a, MAX(body.order) AS b, MAX(body.key) AS k, COUNT(body.Index) AS n FROM docs;",
+        "SELECT '2' AS low, '10' AS high, 'a' AS a, 'b' AS b, '3' AS k, CAST(1 AS BIGINT) AS n",
+    ),
+    "big_numbers": (
+        "CREATE TABLE wide (id SERIAL PRIMARY KEY, u INT UNSIGNED, b BIGINT); INSERT INTO wide (u, b) VALUES (4294967295, 9223372036854775807), (2, 3);"
+        " SELECT id, u * u AS squares, b * b AS big, b + 0 AS same FROM wide WHERE b < 99999999999999999999;",
+        "SELECT * FROM (VALUES (1, CAST('18446744065119617025' AS DECIMAL(38,0)), CAST('85070591730234615847396907784232501249' AS DECIMAL(38,0)), CAST(9223372036854775807 AS BIGINT)),"
+        " (2, CAST('4' AS DECIMAL(38,0)), CAST('9' AS DECIMAL(38,0)), CAST(3 AS BIGINT))) AS t(id, squares, big, same)",
+    ),
+    "fn_power_exact": (
+        "CREATE TABLE bases (id SERIAL PRIMARY KEY, x INT, y INT); INSERT INTO bases (x, y) VALUES (3, 35), (-3, 35), (2, 62), (10, 0), (0, 5), (-1, 999), (7, 1);"
+        " SELECT id, POWER(x, y) AS p, POWER(x, 3) AS c FROM bases;",
+        "SELECT id, CAST(p AS BIGINT) AS p, CAST(x * x * x AS BIGINT) AS c FROM (VALUES (1, 3, 50031545098999707), (2, -3, -50031545098999707), (3, 2, 4611686018427387904), (4, 10, 1), (5, 0, 0), (6, -1, -1), (7, 7, 7)) AS t(id, x, p)",
+    ),
+    "unique_index": (
+        _WORKED + "CREATE UNIQUE INDEX by_mass ON planets(mass); SELECT id, mass FROM planets WHERE mass = 0.8150;",
+        "SELECT CAST(4 AS INTEGER) AS id, CAST(0.8150 AS DECIMAL(10,4)) AS mass",
+    ),
+    "sequence_and_drop": (
+        _WORKED + "CREATE SEQUENCE own AS BIGINT OWNED BY planets; DROP TABLE planets; CREATE TABLE planets (id SERIAL PRIMARY KEY, name TEXT); INSERT INTO planets (name) VALUES ('again'); SELECT id, name FROM planets;",
+        "SELECT CAST(1 AS INTEGER) AS id, 'again' AS name",
+    ),
+    "uuid_keys": (
+        "CREATE TABLE contracts (id UUID PRIMARY KEY, name TEXT); INSERT INTO contracts (name) VALUES ('a'), ('b');"
+        " INSERT INTO contracts (id, name) VALUES ('AAAAAAAA-0000-4000-8000-000000000001', 'c'); SELECT id, name FROM contracts WHERE id = 'aaaaaaaa-0000-4000-8000-000000000001';",
+        "SELECT 'aaaaaaaa-0000-4000-8000-000000000001' AS id, 'c' AS name",
+    ),
+    "interval_columns": (
+        "CREATE TABLE spans (id SERIAL PRIMARY KEY, at TIMESTAMP, span INTERVAL); INSERT INTO spans (at, span) VALUES ('2024-01-31 10:00:00', '1 month 2 hours'), ('2023-12-31 23:59:59', '1 year 3 days 1 second');"
+        " SELECT id, at + span AS later, span + at AS same, EXTRACT(MONTH FROM span) AS m, EXTRACT(HOUR FROM span) AS h FROM spans;",
+        "SELECT * FROM (VALUES (1, TIMESTAMP '2024-02-29 12:00:00', TIMESTAMP '2024-02-29 12:00:00', CAST(1 AS BIGINT), CAST(2 AS BIGINT)),"
+        " (2, TIMESTAMP '2025-01-04 00:00:00', TIMESTAMP '2025-01-04 00:00:00', CAST(12 AS BIGINT), CAST(0 AS BIGINT))) AS t(id, later, same, m, h)",
+    ),
+    "numeric_sums": (
+        _WORKED + "SELECT SUM(mass) AS s, AVG(moons) AS a, MIN(mass) AS low, MAX(mass) AS high, COUNT(moons) AS n FROM planets;",
+        "SELECT CAST(319.7524 AS DECIMAL(20,4)) AS s, round(98 / 3, 2) AS a, CAST(0.1074 AS DECIMAL(10,4)) AS low, CAST(317.8300 AS DECIMAL(10,4)) AS high, CAST(3 AS BIGINT) AS n",
+    ),
+    "json5_input": (
+        "CREATE TABLE notes (id SERIAL PRIMARY KEY, body JSONB); INSERT INTO notes (body) VALUES ('{a: 0x10, /* c */ b: [1, 2,], d: NaN,}'), ('plain text');"
+        " SELECT id, body.a AS a, body.b[-1] AS b, body.d AS d FROM notes;",
+        "SELECT * FROM (VALUES (1, '16', '2', NULL), (2, NULL, NULL, NULL)) AS t(id, a, b, d)",
+    ),
+    "join_null_keys": (
+        "CREATE TABLE a (id SERIAL PRIMARY KEY, k INT NULLABLE); CREATE TABLE b (id SERIAL PRIMARY KEY, k INT NULLABLE); INSERT INTO a (k) VALUES (1), (NULL), (3); INSERT INTO b (k) VALUES (1), (NULL), (4);"
+        " SELECT a.id AS x, b.id AS y FROM a FULL JOIN b ON a.k = b.k;",
+        "SELECT * FROM (VALUES (1, 1), (2, NULL), (3, NULL), (NULL, 2), (NULL, 3)) AS t(x, y)",
+    ),
     "numeric_table": (
         "CREATE TABLE loans (id SERIAL PRIMARY KEY, principal NUMERIC(10,2), rate NUMERIC(5,4)); INSERT INTO loans (principal, rate) VALUES (1000.50, 0.0525), (250.00, 0.1000);"
         " SELECT id, TRUNC(principal * rate, 3) AS interest FROM loans;",
@@ -308,6 +358,55 @@ def _script(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(Engine(spark).sql(sql))
 
 
+def _refused(sql: str, bad: str, after: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What is left after a statement that must fail."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Engine(spark)
+        db.sql(sql)
+        try:
+            db.sql(bad)
+        except SqlError:
+            return rounded(db.sql(after))
+        raise AssertionError(f"not refused: {bad}")
+
+    return run
+
+
+def _loaded(change: str, after: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A change of a table that holds all orders."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Engine(spark)
+        db.sql("CREATE TABLE own (o_orderkey BIGINT PRIMARY KEY, o_orderstatus VARCHAR(1), o_totalprice DOUBLE PRECISION);")
+        db.load("own", spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+        db.sql(change)
+        return rounded(db.sql(after))
+
+    return run
+
+
+# name: (query, DuckDB)
+CHECKED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "duplicate_key": (
+        _refused(_WORKED, "INSERT INTO planets (name, mass) VALUES ('Pluto', 0.0022), ('Mars', 1.0);", "SELECT id, name FROM planets;"),
+        f"SELECT CAST(id AS INTEGER) AS id, name FROM {_FOUR}",
+    ),
+    "txn_aborted": (
+        _refused(_WORKED + "BEGIN TRANSACTION; DELETE FROM planets WHERE id = 1;", "INSERT INTO planets (name) VALUES ('no mass');", "COMMIT; SELECT id FROM planets;"),
+        f"SELECT CAST(id AS INTEGER) AS id FROM {_FOUR}",
+    ),
+    "dml_update_table": (
+        _loaded("UPDATE own SET o_totalprice = o_totalprice * 2, o_orderstatus = 'X' WHERE o_orderstatus = 'P';", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM own;"),
+        "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, round(CASE o_orderstatus WHEN 'P' THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS o_totalprice FROM orders",
+    ),
+    "dml_delete_table": (
+        _loaded("DELETE FROM own WHERE o_totalprice > 100000.0;", "SELECT o_orderkey, o_orderstatus FROM own;"),
+        "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT o_totalprice > 100000.0",
+    ),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by region: five relations, one filter, grouped and sorted."""
     return _query(SQL["flagship_revenue"][0])(spark, sf_dir)
@@ -325,10 +424,11 @@ def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _query(sql) for name, (sql, _) in SQL.items()},
     **{name: _script(sql) for name, (sql, _) in SCRIPTS.items()},
+    **{name: query for name, (query, _) in CHECKED.items()},
     "stream_windows": _windows,
     "explain": _explain,
 }
 ORACLE_SQL: dict[str, str] = {
-    **{name: oracle for name, (_, oracle) in (SQL | SCRIPTS).items()},
+    **{name: oracle for name, (_, oracle) in (SQL | SCRIPTS | CHECKED).items()},
     "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
