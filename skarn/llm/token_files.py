@@ -6,9 +6,9 @@ bytes, 1 on ids and 0 on the padding of a shard's last sequence). Sequence i is
 batch i // BATCH_ROWS, and a memory-mapped reader gets ids and mask without copying or decoding. Documents are
 packed end to end; ``<shard>.docs.arrow`` beside it holds each document's id, start and length in the shard's stream.
 
-Texts are encoded where they are read, and only packed ids are shuffled: to as many ranges of ids as there are
-shards of ``shard_tokens``, whatever Spark's own settings are. A shard is written under a temporary name and renamed,
-and its content depends on its input alone, so a task that runs again after a lost executor leaves the same file.
+Texts are dealt to as many ranges of ids as there are shards of ``shard_bytes`` of text, whatever Spark's own settings
+are. A shard is written under a temporary name and renamed, and its content depends on its input alone, so a task that
+runs again after a lost executor leaves the same file.
 """
 
 from __future__ import annotations
@@ -19,18 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import column, default_tokenizer, map_rows, materialise, shared_path
+from skarn.llm.common import column, default_tokenizer, map_rows, shared_path
 from skarn.llm.encoding import WordEncoder, encoder
 
 SEQ_LEN = 2048
 BATCH_ROWS = 64
-#: Ids of a shard, about: what a task sorts and writes.
-SHARD_TOKENS = 1 << 24
+#: Bytes of text in a shard, about: what a task sorts and encodes (some 16 million ids).
+SHARD_BYTES = 64 << 20
 END_ID = 2
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -138,12 +137,12 @@ def write_token_files(
     tokenizer_path: str | None = None,
     end_id: int = END_ID,
     seq_len: int = SEQ_LEN,
-    shard_tokens: int = SHARD_TOKENS,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Encode whole texts and write them as shards below ``out``, documents in ascending id order over shards.
 
-    Texts are encoded by one scan, written as packed ids, dealt by ranges of the id and sorted; each range becomes a
-    shard. Rows that repeat an id are ordered by a hash of their text and may lie in several shards, so that no id
+    Texts are dealt by ranges of the id (one shuffle of id and text, after a pass for their size), sorted and encoded;
+    each range becomes a shard. Rows that repeat an id are ordered by a hash of their text and may lie in several shards, so that no id
     fills one task. Returns the manifest, read back from ``out``: ``shard``, ``path``, ``n_docs``, ``n_tokens``,
     ``base`` (ids in all earlier shards); one row a shard. Ids are whole numbers, or text that holds them. A null text
     is empty (its document is the end id alone); rows with a null id come first; other columns are not read. No rows:
@@ -152,25 +151,26 @@ def write_token_files(
     spark = docs.sparkSession
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
     own = docs.select(column(id_col).cast("bigint").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    encoded = materialise(_encoded(own, path, end_id), "token-ids")
-    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    shards = max(1, -(-int(total) // shard_tokens))
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    shards = max(1, -(-int(total) // shard_bytes))
     order = ("id", "h", "at")
-    ranged = encoded.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    keyed = own.select("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"), "text")
+    ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def make():
         context = TaskContext.get()
         shard, attempt = context.partitionId(), f"_{context.taskAttemptId()}"
 
         def run(items: Iterator[tuple]) -> Iterator[tuple]:
-            writer, dtype = None, encoder(WordEncoder, path).dtype
-            for doc_id, packed in items:
+            writer, words = None, encoder(WordEncoder, path)
+            end = np.array([end_id], words.dtype).tobytes()
+            for doc_id, text in items:
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(out)
                     fs.create_dir(f"{base}/shards", recursive=True)
                     name = f"shards/shard-{shard:06d}.arrow"
-                    writer = ShardWriter(fs, f"{base}/{name}", attempt, dtype, seq_len)
-                writer.add(doc_id, packed)
+                    writer = ShardWriter(fs, f"{base}/{name}", attempt, words.dtype, seq_len)
+                writer.add(doc_id, words.packed(text) + end)
             if writer is not None:
                 writer.close()
                 yield shard, name, writer.n_docs, writer.total
@@ -178,30 +178,12 @@ def write_token_files(
         return run
 
     fields = [("shard", pa.int64(), "bigint"), ("path", pa.string(), "string"), ("n_docs", pa.int64(), "bigint"), ("n_tokens", pa.int64(), "bigint")]
-    map_rows(ranged.select("id", "packed"), make, fields).write.parquet(f"{out}/manifest")
+    map_rows(ranged.select("id", "text"), make, fields).write.parquet(f"{out}/manifest")
     manifest = spark.read.schema("shard bigint, path string, n_docs bigint, n_tokens bigint").parquet(f"{out}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def _encoded(own: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, h: hash of the text, n: ids with the end id, packed) of rows (id, text)."""
-
-    def make():
-        words = encoder(WordEncoder, path)
-        end = np.array([end_id], words.dtype).tobytes()
-
-        def run(items: Iterator[tuple]) -> Iterator[tuple]:
-            for doc_id, text in items:
-                packed = words.packed(text) + end
-                yield doc_id, xxhash.xxh64_intdigest(text) >> 1, len(packed) // len(end), packed
-
-        return run
-
-    fields = [("id", pa.int64(), "bigint"), ("h", pa.int64(), "bigint"), ("n", pa.int64(), "bigint"), ("packed", pa.binary(), "binary")]
-    return map_rows(own, make, fields)
-
-
 def read_token_digests(manifest: DataFrame, out: str) -> DataFrame:
     """Per document, from the files alone: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
     n = max(1, manifest.count())  # a task a shard

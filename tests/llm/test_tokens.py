@@ -124,7 +124,7 @@ def test_hot_ids_fill_several_shards(spark, word_library):
     rows = [(7, f"text number {k % 50}") for k in range(600)] + [(None, "same")] * 300 + [(k, "x") for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     out = shared_path(spark, "test")
-    manifest = token_files.write_token_files(docs, out, seq_len=8, shard_tokens=200)
+    manifest = token_files.write_token_files(docs, out, seq_len=8, shard_bytes=1_000)
     sizes = [r.n_tokens for r in manifest.collect()]
     total = sum(len(word_library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
     assert sum(sizes) == total and len(sizes) > 8 and max(sizes) < total / 4
