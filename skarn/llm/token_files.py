@@ -2,7 +2,7 @@
 
 A shard is one Arrow IPC file. Its record batches all have ``BATCH_ROWS`` rows (the last may have fewer); a row
 is a sequence of exactly ``seq_len`` ids (``ids``: fixed-size list) with its mask (``mask``: fixed-size list of
-bytes, 1 on ids and 0 on the padding of a shard's last sequence). Sequence i is therefore row i % BATCH_ROWS of
+booleans, false on the padding of a shard's last sequence; Arrow keeps them as bits, a sequence's in whole bytes). Sequence i is therefore row i % BATCH_ROWS of
 batch i // BATCH_ROWS, and a memory-mapped reader gets ids and mask without copying or decoding. Documents are
 packed end to end; ``<shard>.docs.arrow`` beside it holds each document's id, start and length in the shard's stream.
 
@@ -35,7 +35,7 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 def _file_schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
 class ShardWriter:
@@ -70,7 +70,8 @@ class ShardWriter:
         n = len(data) // self.dtype.itemsize
         real = n if real is None else real
         ids = pa.Array.from_buffers(pa.from_numpy_dtype(self.dtype), n, [None, pa.py_buffer(data)])
-        mask = pa.Array.from_buffers(pa.uint8(), n, [None, pa.py_buffer(b"\1" * real + bytes(n - real))])
+        bits = np.packbits(np.arange(n) < real, bitorder="little")
+        mask = pa.Array.from_buffers(pa.bool_(), n, [None, pa.py_buffer(bits)])
         columns = [pa.FixedSizeListArray.from_arrays(a, self.seq_len) for a in (ids, mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -109,11 +110,10 @@ class ShardReader:
             self._at, self._batch = k, self.file.get_batch(k)
         return self._batch
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, both zero-copy (the mask's bytes are seen as booleans)."""
-        batch, row = self._load(i // BATCH_ROWS), i % BATCH_ROWS
-        span = slice(row * self.seq_len, (row + 1) * self.seq_len)
-        return batch.column(0).values.to_numpy()[span], batch.column(1).values.to_numpy()[span].view(bool)
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids (NumPy) and mask (Arrow) of sequence i, both views of the file, without a copy."""
+        batch, at = self._load(i // BATCH_ROWS), i % BATCH_ROWS * self.seq_len
+        return batch.column(0).values.to_numpy()[at : at + self.seq_len], batch.column(1).values.slice(at, self.seq_len)
 
     def ids(self, start: int, length: int) -> Iterator[np.ndarray]:
         """Ids [start, start + length) of the shard's stream, in zero-copy pieces."""
