@@ -147,7 +147,8 @@ def map_rows(
         yield from batched(make()(rows(batches)), schema)
 
     kinds = [T.StructType.fromDDL(f"x {s}")[0].dataType if isinstance(s, str) else s for _, _, s in fields]
-    return df.mapInArrow(run, T.StructType([T.StructField(n, k) for (n, _, _), k in zip(fields, kinds, strict=True)]))
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # mapInArrow looks columns up by unquoted names
+    return plain.mapInArrow(run, T.StructType([T.StructField(n, k) for (n, _, _), k in zip(fields, kinds, strict=True)]))
 
 
 def quoted(name: str) -> str:
