@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,15 +77,62 @@ def expand(items: tuple[ast.Item, ...], scope: Scope) -> list[ast.Item]:
     return out
 
 
-def lower_select(spark: SparkSession, q: ast.Select, tables: Tables) -> DataFrame:
+def conjuncts(e: object) -> list[object]:
+    """The conditions that AND connects."""
+    return [*conjuncts(e.left), *conjuncts(e.right)] if isinstance(e, ast.Binary) and e.op == "AND" else [e]
+
+
+def relations_of(e: object, scope: Scope) -> set[str]:
+    return {scope.find(x.parts)[0].relation for x in walk(e) if isinstance(x, ast.Name)}
+
+
+def joined(tables: Tables, q: ast.Select) -> tuple[Scope, DataFrame]:
+    """What a query's relations hold, and their join; names of a join's condition are those of the relations up to it."""
     fields, df = relation(tables, q.table)
-    scope = Scope(list(fields))
+    scope, parts = Scope(list(fields)), {q.table.known_as: df}
+    conditions: list[tuple[set[str], SparkColumn]] = []
     for j in q.joins:
-        if j.table.known_as in {f.relation for f in scope.fields}:
+        if j.table.known_as in parts:
             raise AnalysisError(f"relation {j.table.known_as!r} appears twice")
         own, other = relation(tables, j.table)
         scope.fields += own
-        df = df.join(other, Lowering(scope).condition(j.on), j.how)
+        parts[j.table.known_as] = other
+        lower = Lowering(scope)
+        condition = lower.condition(j.on)
+        df = df.join(other, condition, j.how)
+        conditions += [(relations_of(e, scope), lower.condition(e)) for e in conjuncts(j.on)]
+    if len(parts) > 2 and all(j.how == "inner" for j in q.joins):
+        order = join_order(q, scope, parts, [c for c, _ in conditions])
+        if order:
+            df, held = parts[order[0]], {order[0]}
+            for name in order[1:]:
+                now = [c for known, c in conditions if known <= held | {name} and not known <= held]
+                df = df.join(parts[name], functools.reduce(operator.and_, now), "inner")
+                held.add(name)
+    return scope, df
+
+
+def join_order(q: ast.Select, scope: Scope, parts: dict[str, DataFrame], links: list[set[str]]) -> list[str] | None:
+    """Relations of a chain of inner joins: the largest first, then of those that a condition connects to what is joined
+    already the ones that WHERE filters by themselves, smaller ones first. Sizes are those of the planner's statistics
+    (of files, without reading them). None, for the order as written, if a condition names fewer than two relations."""
+    if any(len(c) < 2 for c in links):
+        return None
+    names = {i.alias: i.expr for i in q.items if i.alias}
+    alone = [relations_of(substitute(e, names), scope) for e in conjuncts(q.where)] if q.where is not None else []
+    filtered = {r for c in alone if len(c) == 1 for r in c}
+    size = {n: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for n, df in parts.items()}
+    order = [max(parts, key=lambda n: size[n])]
+    while len(order) < len(parts):
+        near = [n for n in parts if n not in order and any(n in c and c <= {n, *order} for c in links)]
+        if not near:
+            return None
+        order.append(min(near, key=lambda n: (n not in filtered, size[n])))
+    return order
+
+
+def lower_select(spark: SparkSession, q: ast.Select, tables: Tables) -> DataFrame:
+    scope, df = joined(tables, q)
     items = expand(q.items, scope)
     names = distinct_names([item_name(i) for i in items])
     aliases = {i.alias: i.expr for i in items if i.alias}

@@ -329,3 +329,44 @@ def test_bulk_load(db, spark):
     db.load("t", spark.range(1000, 1002).selectExpr("id AS n"))
     db.sql("ROLLBACK;")
     assert rows(db, "SELECT COUNT(*) FROM t;") == [(501,)]
+
+
+@pytest.fixture
+def chain(spark, db, tmp_path):
+    """A fact of 300 rows and three smaller relations around it; what is joined first, by relations' names."""
+    for name, n in (("mid", 30_000), ("small", 10), ("far", 5)):
+        spark.range(n).selectExpr(f"id AS {name}_id", f"id % 5 AS {name}_far").write.parquet(f"{tmp_path}/{name}.parquet")
+    fact = spark.range(300).selectExpr("id AS f_id", "id % 30 AS f_mid", "id % 10 AS f_small", "array_join(transform(sequence(1, 500), x -> uuid()), '') AS pad")
+    fact.write.parquet(f"{tmp_path}/fact.parquet")
+    for name in ("far", "mid", "fact", "small"):
+        db.register(name, f"{tmp_path}/{name}.parquet")
+
+    def joins(sql):
+        plan = db.sql(sql)._jdf.queryExecution().analyzed()
+        found = []
+        while plan.nodeName() != "Join":
+            plan = plan.children().head()
+        while plan.nodeName() == "Join":
+            found.append(plan.right().output().head().name().split(".")[0])
+            plan = plan.left()
+        return [plan.output().head().name().split(".")[0], *reversed(found)]
+
+    return joins
+
+
+CHAIN = "FROM far JOIN mid ON far.far_id = mid.mid_far JOIN fact ON mid.mid_id = fact.f_mid JOIN small ON fact.f_small = small.small_id"
+
+
+def test_inner_chain_starts_at_the_largest_and_takes_filtered_relations_first(db, chain):
+    assert chain(f"SELECT f_id {CHAIN};") == ["fact", "small", "mid", "far"]
+    assert chain(f"SELECT f_id {CHAIN} WHERE mid.mid_id > 3;") == ["fact", "mid", "far", "small"]
+    assert chain(f"SELECT f_id, mid_id AS k {CHAIN} WHERE k > 3 AND far_id < f_id;") == ["fact", "mid", "far", "small"]
+    found = rows(db, f"SELECT f_id, small_id, far_id {CHAIN} WHERE mid.mid_id > 3;")
+    assert sorted(found) == [(k, k % 10, k % 5) for k in range(300) if k % 30 > 3]
+
+
+def test_outer_chains_and_conditions_on_one_relation_keep_their_order(db, chain):
+    written = ["far", "mid", "fact", "small"]
+    assert chain(f"SELECT f_id {CHAIN.replace('JOIN small', 'LEFT JOIN small')};") == written
+    assert chain(f"SELECT f_id {CHAIN} AND fact.f_id > 5;") == written
+    assert len(rows(db, f"SELECT f_id {CHAIN} AND fact.f_id > 5;")) == 294
