@@ -7,6 +7,7 @@ and only those rules' regular expressions are run. DataFrame functions only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,12 @@ class PatternRule:
     literals: tuple[str, ...]
 
 
+def host_phrase(name: str, phrase: str) -> PatternRule:
+    """A rule for hosts that hold ``phrase`` (A-Z lower-cased) between separators; its literals follow from the phrase."""
+    low = phrase.translate(str.maketrans(_UPPER, _LOWER))
+    return PatternRule(name, rf"://([^/?#]*[.-])?{re.escape(low)}([.:/?#-]|$)", tuple(t for t in re.split("[^a-z0-9]+", low) if t))
+
+
 #: Fixed values of the query's contract.
 PATH_RULES = (
     PathRule("net", "/", "block"),

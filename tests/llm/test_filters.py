@@ -52,6 +52,22 @@ def test_url_edges(spark, monkeypatch, map_rules):
     assert url.filter_urls(pages, pattern_rules=()).where("size(patterns) > 0").count() == 0
 
 
+def test_thousands_of_phrase_rules(spark):
+    words = [f"w{k}" for k in range(60)]
+    phrases = [f"{a}-{b}" if k % 3 else f"{a}.{b}" for k, (a, b) in enumerate((a, b) for a in words for b in words if a != b)]
+    rules = tuple(url.host_phrase(f"r{k}", p.title() if k % 5 == 0 else p) for k, p in enumerate(phrases))
+    assert len(rules) > 3_000 > url.MAP_RULES
+    urls = [f"http{'s' * (k % 2)}://{'x' * (k % 7 == 0)}{phrases[k * 37 % len(phrases)]}{['.com/', '-z.org', '', 'q.net', ':80/'][k % 5]}/{phrases[k]}" for k in range(300)]
+    pages = spark.createDataFrame([(u,) for u in [*urls, *urls[:20], None, ""]], "url string")
+    found = url.filter_urls(pages, path_rules=(), pattern_rules=rules).collect()
+    assert len(found) == len(urls) + 22
+    compiled = [(r.name, re.compile(r.regex)) for r in rules]  # more than the module's cache holds
+    tried = {u: sorted(name for name, regex in compiled if regex.search(url_low(u))) for u in urls}
+    assert sum(map(bool, tried.values())) > 100
+    for r in found:
+        assert r.patterns == tried.get(r.url, []) and r.verdict == ("block" if r.patterns else "allow")
+
+
 def url_low(u):
     return re.sub("[A-Z]", lambda m: m[0].lower(), u or "")
 
