@@ -22,6 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 _LOCAL_BASES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _OWN: set[str] = set()
+_SCRATCH: list[list[str]] = []
+_HELD: dict[object, object] = {}
+_ASKED: set[object] = set()
 
 #: Bytes of rows that a task holds before it sends them on.
 BATCH_BYTES = 4 << 20
@@ -62,29 +65,41 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. Inside ``scratch``
+    the table goes at the block's end; a ``kept`` one at the end of the block around it, if any."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with small_batches(spark):
-        df.write.parquet(path)
+    bound_batches(spark)
+    df.write.parquet(path)
+    if _SCRATCH[kept:]:
+        _SCRATCH[-1 - kept].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, jobs hand rows to Python in Arrow batches of at most BATCH_BYTES (Spark's own bound is 16 times that)."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_BYTES))
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes within it go at its end, so nothing that is returned may still read them."""
+    _SCRATCH.append([])
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for path in _SCRATCH.pop():
+            _remove(spark, path)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in Arrow batches of at most BATCH_BYTES (Spark's own bound is 16 times
+    that, held by the JVM and by the worker alike). The bound that counts is the one in force when a result is written,
+    which its caller does, so it stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not share the driver's import path."""
+    """Make this package importable in Python workers that do not share the driver's import path, and bound their batches."""
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -99,6 +114,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def held_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks, such as an encoder with its memos, until a task begins that does not ask for it."""
+    _ASKED.add(key)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def begun(make: Callable) -> Callable:
+    """A task's ``make()``; what earlier tasks have kept and it does not ask for is let go."""
+    _ASKED.clear()
+    body = make()
+    for key in _HELD.keys() - _ASKED:
+        del _HELD[key]
+    return body
+
+
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, one Python object at a time so that long texts never pile up."""
     for batch in batches:
@@ -144,7 +176,7 @@ def map_rows(
     schema = pa.schema([(n, t) for n, t, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(make()(rows(batches)), schema)
+        yield from batched(begun(make)(rows(batches)), schema)
 
     kinds = [T.StructType.fromDDL(f"x {s}")[0].dataType if isinstance(s, str) else s for _, _, s in fields]
     plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # mapInArrow looks columns up by unquoted names

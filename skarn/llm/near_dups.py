@@ -14,6 +14,10 @@ common, for ROUNDS rounds with different centres; components are formed of what
 copies soon is one. Then all remaining pairs whose components differ are compared, for which the number of shared
 elements leaves t possible. No pair of similarity t is missed, and every link's similarity is computed.
 
+Before sets are fetched for a pair, two sketches are compared: bit i of a sketch is the parity of the set's elements
+that fall to i. Sketches differ in no more bits than the sets do in elements, so a pair whose sketches differ too much
+for t is no link. Sketches are SKETCH bits whatever the text, and most pairs go no further.
+
 Neither texts nor whole sets are shuffled to find out that a text has no candidates: sets are computed again from the
 texts where they are needed, and a bitmap tells which texts those are.
 """
@@ -30,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import column, map_rows, materialise, ship
-from skarn.llm.simhash import THRESHOLD, components, fingerprint_of, joined_words, links, shingle_hashes, without_followers
+from skarn.llm.common import column, map_rows, materialise, scratch, ship
+from skarn.llm.simhash import THRESHOLD, components, joined_words, links, majority, shingle_hashes, without_followers
 
 SHINGLE_WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -43,6 +47,8 @@ WINDOW = 1 << 19
 COMMON = 1 << 17
 #: Elements of so many texts are known to be shared; their rows are spread over SPREAD places.
 HOT, SPREAD = 2_000, 256
+#: Bits of a set's sketch; sets of some thousand elements and more are too large for it to tell them apart.
+SKETCH = 1024
 #: Least and most bits of the bitmap of texts whose sets are needed, and bits for each.
 LEAST_BITS, MOST_BITS, BITS_PER_NODE = 1 << 15, 1 << 27, 16
 
@@ -76,6 +82,18 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:
     return both * similarity.denominator >= (len(a) + len(b) - both) * similarity.numerator
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """For each of SKETCH places the parity of the distinct hashes that fall to it."""
+    return np.packbits(np.bincount(hashes.astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1 == 1).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Whether sets with these sketches (a row each) and these sizes (of both together) can be similar: they share half
+    of what is left of the sizes without the differing bits, at most."""
+    both = (sizes - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)) // 2
+    return both * (similarity.numerator + similarity.denominator) >= sizes * similarity.numerator
+
+
 def _common(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(elements, counts) of the commonest elements, sorted by element; those that repeat in no window of a task count
     as rare, which costs time but no pair."""
@@ -195,7 +213,22 @@ def _sets(texts: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
     return found.groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: Fraction, name: str) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (u, v), which are in files, that their ``sketches`` (node, size, sketch) leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in (3, 4))
+            kept = may_be_similar(a, b, batch.column(2).to_numpy(), similarity)
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    left = sketches.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("sketch").alias("a"))
+    right = sketches.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("sketch").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.col("m") + F.col("n")).alias("sizes"), "a", "b")
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, shingle_words: int, similarity: Fraction, name: str) -> DataFrame:
     """Those of the pairs (u, v) whose sets are similar; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +237,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
             kept = [similar(a, b, similarity) for a, b in zip(*sets_of, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    pairs = materialise(pairs, f"{name}-pairs")
-    nodes = materialise(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")), f"{name}-nodes")
-    sets = materialise(_sets(texts, nodes, shingle_words), f"{name}-sets")
-    left = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return materialise(both.mapInArrow(run, "u bigint, v bigint"), name)
+    with scratch(texts.sparkSession):
+        pairs = materialise(pairs, f"{name}-candidates")
+        pairs = materialise(_sketched(pairs, sketches, similarity), f"{name}-pairs")
+        nodes = materialise(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")), f"{name}-nodes")
+        sets = materialise(_sets(texts, nodes, shingle_words), f"{name}-sets")
+        left = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
+        right = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
+        both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        return materialise(both.mapInArrow(run, "u bigint, v bigint"), name, kept=True)
 
 
 def _anchored(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -218,7 +253,8 @@ def _anchored(nodes: DataFrame, threshold: int) -> DataFrame:
     own, and fingerprints that an anchor group connects, by their least nodes."""
     least = materialise(nodes.groupBy("simhash").agg(F.min("node").alias("v")), "near-fingerprints")
     stars = nodes.join(least, "simhash").where("node != v").select(F.col("node").alias("u"), "v")
-    edges = materialise(links(least.select(F.col("simhash").alias("fp")), threshold), "near-anchored")
+    with scratch(nodes.sparkSession):
+        edges = materialise(links(least.select(F.col("simhash").alias("fp")), threshold), "near-anchored", kept=True)
     ends = [least.select(F.col("simhash").alias(a), F.col("v").alias(b)) for a, b in (("u", "x"), ("v", "y"))]
     met = edges.join(ends[0], "u").join(ends[1], "v").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
     return stars.union(met)
@@ -263,15 +299,15 @@ def _remaining(rooted: DataFrame, alike, similarity: Fraction) -> DataFrame:
 
 
 def similar_components(texts: DataFrame, nodes: DataFrame, shingle_words: int, similarity: Fraction, threshold: int) -> DataFrame:
-    """(fp, root) of every node of ``texts`` (one column) linked by similarity, but the roots; ``nodes`` has the texts'
-    ``node`` and ``simhash``."""
+    """(fp, root) of every node of ``texts`` (one column) linked by similarity, but the roots; ``nodes`` (in files) has the
+    texts' ``node``, ``simhash``, ``size`` of the set and its ``sketch``."""
     ship(texts.sparkSession)
     groups = materialise(_shared(_prefixes(texts, shingle_words, similarity)), "near-groups")
     num, den = similarity.numerator, similarity.denominator
     alike = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
     pairs, found = _anchored(nodes, threshold), None
     for turn in range(ROUNDS + 2):  # anchors, centres, what remains
-        new = _verified(pairs, texts, shingle_words, similarity, f"near-links-{turn}")
+        new = _verified(pairs, texts, nodes, shingle_words, similarity, f"near-links-{turn}")
         found = new if found is None else found.union(new)
         roots = components(found)
         if turn <= ROUNDS:
@@ -305,23 +341,30 @@ def near_components(
         def run(items: Iterator[tuple]) -> Iterator[tuple]:
             for doc_id, text in items:
                 joined = joined_words(text)
-                yield doc_id, _node_of(joined), fingerprint_of(joined, shingle_words)
+                slices = list(shingle_hashes(joined, shingle_words))
+                hashes = np.unique(np.concatenate(slices))
+                yield doc_id, _node_of(joined), majority(slices) if joined else 0, len(hashes), sketch_of(hashes)
 
         return run
 
     fields = [("id", pa.int64(), "bigint"), ("fp", pa.int64(), "bigint"), ("simhash", pa.int64(), "bigint")]
+    fields += [("size", pa.int64(), "bigint"), ("sketch", pa.binary(), "binary")]
     prints = map_rows(docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text")), make, fields)
     prints = materialise(prints, "near-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.first("simhash").alias("simhash")), "near-nodes")
-    hashed = nodes.select(F.col("fp").alias("node"), "simhash")
-    stars = similar_components(docs.select(column(text_col).alias("text")), hashed, shingle_words, similarity, threshold)
-    rooted = materialise(nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-rooted")
+    of = [F.first(c).alias(c) for c in ("simhash", "size", "sketch")]
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), *of), "near-nodes")
+    hashed = nodes.select(F.col("fp").alias("node"), "simhash", "size", "sketch")
+    with scratch(docs.sparkSession):
+        stars = similar_components(docs.select(column(text_col).alias("text")), hashed, shingle_words, similarity, threshold)
+        rooted = nodes.select("fp", "least").join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = materialise(rooted, "near-rooted", kept=True)
     least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "near-least")
     found = materialise(rooted.join(least, "root").select("fp", "component_id"), "near-components")
-    return prints.join(found, "fp").select(F.col("id").alias(id_col), "component_id")
+    return prints.select("id", "fp").join(found, "fp").select(F.col("id").alias(id_col), "component_id")
 
 
 def one_per_near_component(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
     """Rows of ``docs``, with all their columns, that stay: of each component those of the smallest id; all rows with a
     null id stay, since no id tells them apart. Parameters are those of ``near_components``."""
-    return without_followers(docs, id_col, near_components(docs, id_col, **parameters))
+    with scratch(docs.sparkSession):
+        return without_followers(docs, id_col, near_components(docs, id_col, **parameters))

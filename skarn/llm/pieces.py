@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from skarn.llm.common import arrow_fields, carried, column, default_tokenizer, free_name, map_rows
+from skarn.llm.common import arrow_fields, carried, column, default_tokenizer, free_name, held_by_worker, map_rows
 
 SPACE = "▁"
 #: Units kept by a worker for good (the first seen, so the frequent ones) and until the next emptying; pairs.
@@ -193,14 +193,9 @@ class PieceEncoder:
         return self.library.decode(ids)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def piece_encoder(path: str) -> PieceEncoder:
-    """The encoder of a model file; a worker that runs several tasks keeps it."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a model file; a worker that runs several tasks in a row with it keeps it."""
+    return held_by_worker(("pieces", path), lambda: PieceEncoder(path))
 
 
 def encode_pieces(

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +67,13 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprint_of(joined: bytes, shingle_words: int) -> int:
-    if not joined:
-        return 0
+    return majority(shingle_hashes(joined, shingle_words)) if joined else 0
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit number."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(joined, shingle_words):
+    for hashes in slices:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
@@ -317,7 +320,7 @@ def without_followers(docs: DataFrame, id_col: str, found: DataFrame) -> DataFra
     name = free_name(docs, "dropped_id")
     own = column(id_col)
     dropped = found.where((own != F.col("component_id")) & own.isNotNull()).select(own.alias(name)).distinct()
-    dropped = materialise(dropped, "simhash-dropped")
+    dropped = materialise(dropped, "simhash-dropped", kept=True)
     return docs.join(dropped, docs[quoted(id_col)].cast("bigint") == dropped[name], "left_anti")
 
 

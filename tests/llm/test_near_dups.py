@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from llm.conftest import EDGES
 
-from skarn.llm import near_dups
+from skarn.llm import common, near_dups
 
 
 def brute_set(text, k=5):
@@ -85,6 +87,44 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sum(compared) < 260 * 259 / 2 * 0.6
 
 
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 9, 40, 300, 9000):
+        for changed in {0, 1, n // 12, n // 9, n // 8, n // 3, n}:
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.r_[a[changed:], rng.integers(0, 2**63, changed).astype(np.uint64)])
+            x, y = (np.frombuffer(near_dups.sketch_of(s), np.uint64)[None] for s in (a, b))
+            may = near_dups.may_be_similar(x, y, np.array([len(a) + len(b)]), near_dups.SIMILARITY)[0]
+            assert may or not near_dups.similar(a, b, near_dups.SIMILARITY)
+            assert not may or changed < n // 3 or n in (1, 2, 9000)
+
+
+def test_sets_are_fetched_for_few_and_tables_go(spark, monkeypatch):
+    """Texts with a long passage in common and little else are candidates of one another, but no sets are fetched for
+    them; and no table outlives the call but that of the dropped ids."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(25))
+    docs = [(k, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    fetched, tables = [], []
+    sets, path = near_dups._sets, common.shared_path
+
+    def counted(texts, nodes, *rest):
+        fetched.append(nodes.count())
+        return sets(texts, nodes, *rest)
+
+    def noted(spark, name):
+        tables.append(path(spark, name))
+        return tables[-1]
+
+    monkeypatch.setattr(near_dups, "_sets", counted)
+    monkeypatch.setattr(common, "shared_path", noted)
+    assert {r.doc_id for r in near_dups.one_per_near_component(df).collect()} == brute_kept(docs)
+    assert sum(fetched) < 20
+    left = [t for t in tables if os.path.exists(t.removeprefix("file://"))]
+    assert len(left) == 1 and "dropped" in left[0]
+
+
 def test_near_edges(spark, edges, nothing):
     kept = near_dups.one_per_near_component(edges)
     assert kept.columns == edges.columns

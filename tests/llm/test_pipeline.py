@@ -12,6 +12,7 @@ import sentencepiece
 from llm.test_contamination import brute
 from llm.test_near_dups import brute_kept
 
+from skarn.llm import common
 from skarn.llm.common import default_tokenizer
 
 REPO = Path(__file__).resolve().parents[2]
@@ -56,6 +57,34 @@ def test_run_is_the_stages_in_turn(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
 
 
+def test_rows_reach_python_in_small_batches_whoever_writes(spark, sf, monkeypatch):
+    """The stages' results are written by their caller: the bound on batches has to hold then."""
+
+    def rows(batches):
+        for batch in batches:
+            assert batch.nbytes <= 2 * common.BATCH_BYTES
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    monkeypatch.setattr(common, "rows", rows)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)  # whatever ran before in this session
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('lorem ', id, ' ipsum '), 400) AS text", "'x' AS lang", "'y' AS source", "1L AS n_chars")
+    assert corpus_pipeline.decontaminate(spark, docs, sf).count() == 3000
+    assert corpus_pipeline.encode(spark, docs.limit(1500), sf).count() == 1500
+    spark.conf.set(name, "1m")  # a smaller bound of the caller's stays
+    corpus_pipeline.encode(spark, docs, sf)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
+def test_workers_let_go_what_the_next_task_does_not_use():
+    a, b = object(), object()
+    assert common.begun(lambda: common.held_by_worker("a", lambda: a)) is a
+    assert common.begun(lambda: common.held_by_worker("a", object)) is a
+    assert common.begun(lambda: b) is b
+    assert not common._HELD
+
+
 def test_rest_works_without_the_optional_folders():
     code = "import sys; sys.modules['skarn.llm'] = None; import __spark_entry__ as e; n = e.queries(); assert n and not any(k.startswith('op') or k == 'pipeline' for k in n) and set(e.oracle_sql()) <= set(n)"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
